@@ -6,6 +6,7 @@ import importlib
 
 _OPS = {
     "op1_simhash_near_dedup": "simhash.op1",
+    "op3_byte_bpe": "bpe.op3",
 }
 
 

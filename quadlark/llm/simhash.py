@@ -219,7 +219,8 @@ def links(fps: DataFrame, bits: int = 4, cap: int = 1 << 16) -> DataFrame:
                 rows, keys = all_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
 
-    rows = fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fps.select("fp").repartition(parts, "fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
     out, _ = written(rows.mapInArrow(_link_runs(bits, cap), "u long, v long, part int").distinct())
     more = out.where("part >= 0")
     near = out.where("part < 0").select("u", "v")
