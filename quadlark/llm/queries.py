@@ -7,6 +7,9 @@ import importlib
 _OPS = {
     "op1_simhash_near_dedup": "simhash.op1",
     "op3_byte_bpe": "bpe.op3",
+    "op8_language_id": "langid.op8",
+    "op9_quality_rules": "quality.op9",
+    "op10_token_counts": "tokencount.op10",
 }
 
 
