@@ -9,6 +9,7 @@ _OPS = {
     "op3_byte_bpe": "bpe.op3",
     "op4_line_dedup": "linededup.op4",
     "op5_toxicity": "toxicity.op5",
+    "op6_nearest_neighbours": "ann.op6",
     "op7_source_mixing": "mixing.op7",
     "op8_language_id": "langid.op8",
     "op9_quality_rules": "quality.op9",
