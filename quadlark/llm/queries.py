@@ -6,6 +6,7 @@ import importlib
 
 _OPS = {
     "op1_simhash_near_dedup": "simhash.op1",
+    "op2_lm_scoring": "maxent.op2",
     "op3_byte_bpe": "bpe.op3",
     "op4_line_dedup": "linededup.op4",
     "op5_toxicity": "toxicity.op5",
