@@ -150,4 +150,4 @@ def glob_pattern(glob: str) -> str:
     """A file-name pattern (*, ?, [..]) as a regular expression over the whole text."""
     import fnmatch
 
-    return fnmatch.translate(glob)
+    return "^" + fnmatch.translate(glob)
