@@ -126,7 +126,7 @@ def position_text(kind: Column, numbers: list[Column]) -> Column:
 
 def parsed_credits(text: Column) -> Column:
     """Comma-separated ids, without blanks and empty entries, sorted, once each."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda c: c != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda c: F.trim(c)), lambda c: c != "")))
 
 
 def location(text: Column) -> dict[str, Column]:
