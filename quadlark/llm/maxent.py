@@ -19,8 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import fold, table, written
 
@@ -43,14 +44,14 @@ def tokenised(docs: DataFrame) -> DataFrame:
     """(doc_id, text, held) to pieces: documents' ids and lengths, tokens as numbers of the piece's words, and the words' training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = TaskContext.get().partitionId() << 32
+        piece, packed = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(3)
         number, ids, lens, held, tokens, size = {END: 0}, [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             stream = np.concatenate(tokens)
             train = np.bincount(stream[np.repeat(~np.array(held, bool), lens)], minlength=len(number))
             blobs = (np.array(ids, np.int64), np.array(lens, np.int64), np.array(held, bool), stream)
-            values = [*(x.tobytes() for x in blobs), b"\n".join(number), train.astype(np.int64).tobytes()]
+            values = map(packed.compress, [*(x.tobytes() for x in blobs), b"\n".join(number), train.astype(np.int64).tobytes()])
             return pa.RecordBatch.from_arrays([pa.array([piece]), *(pa.array([v], pa.binary()) for v in values)], [c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
@@ -75,11 +76,15 @@ def tokenised(docs: DataFrame) -> DataFrame:
 NO_ID = -(1 << 63)
 
 
+def plain(blob: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob.as_py())
+
+
 def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(piece, words, train) to (piece, place, word, n)."""
     for b in batches:
         for p, w, n in zip(b.column(0), b.column(1), b.column(2)):
-            words, n = w.as_py().split(b"\n"), np.frombuffer(n.as_py(), np.int64)
+            words, n = plain(w).split(b"\n"), np.frombuffer(plain(n), np.int64)
             for at in range(0, len(words), 65536):
                 part = words[at : at + 65536]
                 place = np.arange(at, at + len(part), dtype=np.int32)
@@ -117,12 +122,12 @@ class Model:
         return np.fromiter((place[w] if w in place else COMMON + surface(w) for w in words), np.int64, len(words))
 
 
-def contexts(codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The codes 1 to SKIPS before each token (row by row), COMMON + SURFACE before the text's start. begin: where each token's text starts."""
-    out = np.full((SKIPS, len(codes)), COMMON + SURFACE, np.int64)
-    at = np.arange(len(codes))
+def contexts(codes: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The codes 1 to SKIPS before each token at `at` (row by row), COMMON + SURFACE before the text's start. begin: where each token's text starts."""
+    out = np.full((SKIPS, len(at)), COMMON + SURFACE, np.int64)
+    first = begin[at]
     for k in range(1, SKIPS + 1):
-        there = at - k >= begin
+        there = at - k >= first
         out[k - 1, there] = codes[at[there] - k]
     return out
 
@@ -158,7 +163,7 @@ def class_of(codes: np.ndarray) -> np.ndarray:
 def log_chances(m: Model, codes: np.ndarray, begin: np.ndarray, rare_part: np.ndarray) -> np.ndarray:
     """Natural log probability of each token; rare_part: that of a rare word within its surface class."""
     out = np.empty(len(codes))
-    ctx, group = contexts(codes, begin), class_of(codes)
+    ctx, group = contexts(codes, begin, np.arange(len(codes))), class_of(codes)
     for s in range(0, len(codes), BATCH):
         c, g = ctx[:, s : s + BATCH], group[s : s + BATCH]
         p = softmax(summed(m.of_class, class_rows(c), m.bias))
@@ -182,10 +187,10 @@ def descend(weights: np.ndarray, power: np.ndarray, rows: np.ndarray, gradient:
 
 def train(m: Model, codes: np.ndarray, begin: np.ndarray, used: np.ndarray) -> None:
     """Mini-batches over the used positions, in place."""
-    ctx, group, at = contexts(codes, begin), class_of(codes), np.nonzero(used)[0]
+    at = np.nonzero(used)[0]
     for s in range(0, len(at), BATCH):
         i = at[s : s + BATCH]
-        c, g = ctx[:, i], group[i]
+        c, g = contexts(codes, begin, i), class_of(codes[i])
         rows = class_rows(c)
         p = softmax(summed(m.of_class, rows, m.bias))
         p[np.arange(len(g)), g] -= 1
@@ -213,10 +218,10 @@ def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
         own, any_used = Model(**{**m.__dict__, **{k: getattr(m, k).copy() for k in PARTS}}), False
         for b in batches:
             for row in zip(*(b.column(k) for k in range(5))):
-                ids, lens, held, tokens = unpacked(*(x.as_py() for x in row[:4]))
+                ids, lens, held, tokens = unpacked(*map(plain, row[:4]))
                 begin = np.repeat(np.cumsum(lens) - lens, lens)
                 used = ~np.repeat(held, lens) & ((np.arange(len(tokens)) - begin + np.repeat(ids, lens)) % THIN == number % THIN)
-                train(own, own.codes(row[4].as_py().split(b"\n"))[tokens], begin, used)
+                train(own, own.codes(plain(row[4]).split(b"\n"))[tokens], begin, used)
                 any_used |= bool(used.any())
         if any_used:
             for name in PARTS:
@@ -247,8 +252,12 @@ def score(docs: DataFrame) -> DataFrame:
     training rows every count is 0, and base_score is 0 for each token; equal texts get equal scores; an empty table gives an empty result.
     """
     pieces, _ = written(tokenised(docs.withColumn("held", F.coalesce("held", F.lit(True)))))
-    rows, _ = written(pieces.select("piece", "words", "train").mapInArrow(word_rows, "piece long, place int, word binary, n long"))
-    counts, _ = written(rows.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
+    # One exchange by word: a word has a row for each piece, so its window holds as many rows as there are pieces at most.
+    same = Window.partitionBy("word")
+    rows = pieces.select("piece", "words", "train").mapInArrow(word_rows, "piece long, place int, word binary, n long")
+    rows = rows.withColumn("c", F.sum("n").over(same)).withColumn("first", F.min("piece").over(same) == F.col("piece"))
+    rows, _ = written(rows.where("first or c <> n").select("piece", "place", "word", "c", "first", (F.col("c") != F.col("n")).alias("more")))
+    counts = rows.where("first and c > 0").select("word", "c")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, kinds = int(total[0]), int(total[1])
     common = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()]
@@ -269,11 +278,11 @@ def score(docs: DataFrame) -> DataFrame:
 
     def measured(p: pa.Table, c: pa.Table) -> pa.Table:
         out = []
-        for row in p.select(["ids", "lens", "held", "tokens", "words"]).to_batches():
+        for row in p.select(["ids", "lens", "held", "tokens", "words", "train"]).to_batches():
             for values in zip(*row.columns):
-                ids, lens, held, stream = unpacked(*(x.as_py() for x in values[:4]))
-                words = values[4].as_py().split(b"\n")
-                known = np.zeros(len(words), np.int64)
+                ids, lens, held, stream = unpacked(*map(plain, values[:4]))
+                words = plain(values[4]).split(b"\n")
+                known = np.frombuffer(plain(values[5]), np.int64).copy()  # right for words of this piece alone
                 known[c.column("place").to_numpy()] = c.column("c").to_numpy()
                 codes = model.codes(words)
                 rare_part = np.zeros(len(words))
@@ -286,7 +295,7 @@ def score(docs: DataFrame) -> DataFrame:
                 out.append(pa.table({"doc_id": pa.array(ids, mask=ids == NO_ID), "held_out": pa.array(held), "n_tokens": pa.array(parts[0]), "n_known": pa.array(parts[1]), "train_tokens": pa.array(np.full(len(ids), tokens)), "base_score": pa.array(parts[2]), "score": pa.array(parts[3])}))
         return pa.concat_tables(out) if out else NOTHING.empty_table()
 
-    back = rows.select("piece", "place", "word").join(counts, "word").select("piece", "place", "c")
+    back = rows.where("more").select("piece", "place", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return pieces.groupBy("piece").cogroup(back.groupBy("piece")).applyInArrow(measured, schema)
 
