@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import fold, table, written
 
 #: Tokens of a piece; words with classes of their own; words of such a class; surface classes; rows for hashed pairs.
-PIECE, COMMON, SLOTS, SURFACE, HASHED = 2_000_000, 512, 32, 32, 1 << 13
+PIECE, COMMON, SLOTS, SURFACE, HASHED = 1_000_000, 512, 32, 32, 1 << 13
 #: Rounds over the corpus, the share of positions a round uses is 1 / THIN (other positions each round), tokens of a mini-batch, step.
 ROUNDS, THIN, BATCH, STEP = 2, 4, 8192, 0.15
 FREQUENT = COMMON // SLOTS
@@ -163,9 +163,8 @@ def class_of(codes: np.ndarray) -> np.ndarray:
 def log_chances(m: Model, codes: np.ndarray, begin: np.ndarray, rare_part: np.ndarray) -> np.ndarray:
     """Natural log probability of each token; rare_part: that of a rare word within its surface class."""
     out = np.empty(len(codes))
-    ctx, group = contexts(codes, begin, np.arange(len(codes))), class_of(codes)
     for s in range(0, len(codes), BATCH):
-        c, g = ctx[:, s : s + BATCH], group[s : s + BATCH]
+        c, g = contexts(codes, begin, np.arange(s, min(s + BATCH, len(codes)))), class_of(codes[s : s + BATCH])
         p = softmax(summed(m.of_class, class_rows(c), m.bias))
         out[s : s + BATCH] = np.log(np.maximum(1e-30, p[np.arange(len(g)), g]))
         often = np.nonzero(g < FREQUENT)[0]
