@@ -202,7 +202,11 @@ def derive_subtile(spark, d):
     return out
 
 
-@query("merge_tile")
+_KEPT = f"(select e.* from {_E} e where exists (select 1 from {_COVER} c where c.mesh = e.mesh and c.f = e.f and c.hits > 0))"
+_KEDGE = " union all ".join(f"select mesh, x{i} || ',' || y{i} || ',' || z{i} as a, x{j} || ',' || y{j} || ',' || z{j} as b from {_KEPT} k{i}" for i, j in ((0, 1), (1, 2), (2, 0)))
+
+
+@query("merge_tile", f"select * from (select mesh & 15 as tile, cast(count(*) as bigint) as faces, cast(count(distinct mesh) as bigint) as sources, round(sum({_AREA} * (z0 + z1 + z2) / 3) / sum({_AREA}), 6) as surrogate from {_KEPT} k group by 1) g left join (select e.mesh & 15 as tile, cast(2 * count(*) as bigint) as skirt from ({_KEDGE}) e where not exists (select 1 from ({_KEDGE}) o where o.mesh = e.mesh and o.a = e.b and o.b = e.a) group by 1) s using (tile)")
 def merge_tile(spark, d):
     """Tiles merged from their sources: coverage painted, faces that are seen kept, a skirt put below them, and a surrogate height."""
     kept = faces(spark, d).join(covered(spark, d).where("hits > 0").select("mesh", "f"), ["mesh", "f"], "left_semi").withColumn("tile", F.col("mesh").bitwiseAND(15))

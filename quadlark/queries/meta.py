@@ -181,7 +181,10 @@ def tmp_slices(spark, d):
     return w.groupBy(*KEY).agg(F.max("slice").cast("bigint").alias("slices"), F.bit_or("flags").alias("flags"), F.array_join(parts, ",").alias("parts"))
 
 
-@query("debug_json")
+_FLAG_LIST = "'[' || concat_ws(',', " + ", ".join(f"case when flags & {bit} <> 0 then '\"{name}\"' end" for name, bit in fl.META_NAMES) + ") || ']'"
+
+
+@query("debug_json", f"select lod, x, y, '{{{{\"tile\":\"' || lod || '-' || x || '-' || y || '\",\"flags\":' || {_FLAG_LIST} || ',\"geomExtents\":{{{{\"zmin\":' || cast(zmin as varchar) || ',\"zmax\":' || cast(zmax as varchar) || '}}}},\"texel\":' || cast(texel as varchar) || ',\"credits\":[' || credit || ']}}}}' as json from {_N} n".replace("{{", "{").replace("}}", "}"))
 def debug_json(spark, d):
     """The debug document of every node, as JSON text."""
     n = full_nodes(spark, d)

@@ -15,8 +15,7 @@ def heights(spark, d):
     return fx.sql(spark, d, fx.D)
 
 
-def _open_sql(radius: int) -> str:
-    out = _D
+def _open_sql(radius: int, out: str = _D) -> str:
     for n, (f, across, along) in enumerate((("min", "px", "py"), ("min", "py", "px"), ("max", "px", "py"), ("max", "py", "px"))):
         out = f"(select px, py, {f}(h) over (partition by {across} order by {along} range between {radius} preceding and {radius} following) as h from {out} q{n})"
     return f"select * from {out} z"
@@ -125,7 +124,16 @@ def navtile_merge(spark, d):
     return ra.merge_navtiles(fx.sql(spark, d, f"select * from {_LAY} l"))
 
 
-@query("navtile_pipeline")
+def _cut_sql(source: str, lod: int) -> str:
+    return f"select {lod} as lod, t.x, t.y, m.px - t.x * 16 as px, m.py - t.y * 16 as py, m.h from {source} m join (select a.x, b.y from (select unnest(range(6)) as x) a, (select unnest(range(6)) as y) b) t on m.px between t.x * 16 and t.x * 16 + 16 and m.py between t.y * 16 and t.y * 16 + 16"
+
+
+_DTM = f"({_open_sql(1, _MOS)})"
+_HALF = f"(select px >> 1 as px, py >> 1 as py, avg(h) as h from {_DTM} d group by 1, 2)"
+_CUTS = f"({_cut_sql(_DTM, 2)} union all {_cut_sql(_HALF, 1)})"
+
+
+@query("navtile_pipeline", f"select lod, x, y, px, py, cast(case when high > low then round((h - low) / (high - low) * 255) else 0 end as int) as q from (select *, floor(min(h) over (partition by lod, x, y)) as low, ceil(max(h) over (partition by lod, x, y)) as high from {_CUTS} c) t")
 def navtile_pipeline(spark, d):
     """Heights to terrain, a pyramid of two levels, and their navtiles as bytes."""
     dtm = ra.opening_tiled(ra.mosaic(tile_rasters(spark, d), 16), 1)
@@ -155,7 +163,11 @@ def zbuffer(spark, d):
     return g.agg(F.max("l_extendedprice").alias("z"), F.max_by("l_suppkey", F.struct("l_extendedprice", "l_suppkey")).alias("colour"))
 
 
-@query("atm_density")
+_AT = "(select cast(i % 32 as int) as px, cast(i // 32 as int) as py from (select unnest(range(1024)) as i) r)"
+_HT = "sqrt(pow(1 + py / 32.0e0, 2) + 2 * (1 + py / 32.0e0) * (s / 64.0e0) * (px / 31.0e0 * 2 - 1) + pow(s / 64.0e0, 2)) - 1"
+
+
+@query("atm_density", f"select px, py, round(sum(exp(-8.0e0 * greatest({_HT}, 0.0e0))) / 64, 9) as density from {_AT} a, (select unnest(range(1, 65)) as s) t group by px, py")
 def atm_density(spark, d):
     """Density along rays, by height and angle: per pixel a sum of exp(-k h) over steps, scaled to its unit."""
     n, steps, k = 32, 64, 8.0

@@ -89,7 +89,12 @@ def deepest_navtile(spark, d):
 _W = f"(cast(1 as bigint) << (lod - 1))"
 
 
-@query("tile_mapping", f"select lod, x, y, cast(lod - 1 as int) as to_lod, tx.i as to_x, ty.j as to_y from (select lod, x, y, cast(greatest(0, least({_W} - 1, floor((e_llx + 45 + 180) / (360.0e0 / {_W})))) as bigint) as x0, cast(greatest(0, least({_W} - 1, ceil((e_urx + 45 + 180) / (360.0e0 / {_W})) - 1)) as bigint) as x1, cast(greatest(0, least({_W} - 1, floor((90 - e_ury) / (180.0e0 / {_W})))) as bigint) as y0, cast(greatest(0, least({_W} - 1, ceil((90 - e_lly) / (180.0e0 / {_W})) - 1)) as bigint) as y1 from {_EXT} e) m, lateral (select unnest(range(x0, greatest(x0, x1) + 1)) as i) tx, lateral (select unnest(range(y0, greatest(y0, y1) + 1)) as j) ty")
+_MAP = (
+    f"select lod, x, y, cast(lod - 1 as int) as to_lod, tx.i as to_x, ty.j as to_y from (select lod, x, y, cast(greatest(0, least({_W} - 1, floor((e_llx + 45 + 180) / (360.0e0 / {_W})))) as bigint) as x0, cast(greatest(0, least({_W} - 1, ceil((e_urx + 45 + 180) / (360.0e0 / {_W})) - 1)) as bigint) as x1, cast(greatest(0, least({_W} - 1, floor((90 - e_ury) / (180.0e0 / {_W})))) as bigint) as y0, cast(greatest(0, least({_W} - 1, ceil((90 - e_lly) / (180.0e0 / {_W})) - 1)) as bigint) as y1 from {_EXT} e) m, lateral (select unnest(range(x0, greatest(x0, x1) + 1)) as i) tx, lateral (select unnest(range(y0, greatest(y0, y1) + 1)) as j) ty"
+)
+
+
+@query("tile_mapping", _MAP)
 def tile_mapping(spark, d):
     """Source tiles, moved by 45 degrees, to the target tiles that they cover one level up."""
     e = sp.extents(rooted(spark, d))
@@ -100,11 +105,11 @@ def tile_mapping(spark, d):
     return found.select(*KEY, "to_lod", "to_x", "to_y")
 
 
-@query("reproject")
+@query("reproject", f"select to_lod, to_x, to_y, cast(count(*) as bigint) as sources, cast(bit_or(a.flags) as bigint) as flags from ({_MAP}) m join {_A} a using (lod, x, y) group by 1, 2, 3")
 def reproject(spark, d):
     """Target tiles with the merged flags and the number of the source tiles that the mapping gives them."""
     m = tile_mapping(spark, d).join(a(spark, d), KEY)
-    return m.groupBy("to_lod", "to_x", "to_y").agg(F.count("*").alias("sources"), F.bit_or("flags").alias("flags"), F.array_sort(F.collect_set("lod")).alias("lods"))
+    return m.groupBy("to_lod", "to_x", "to_y").agg(F.count("*").alias("sources"), F.bit_or("flags").alias("flags"))
 
 
 @query("find_subtrees", f"select g.srs, cast(count(*) as bigint) as samples, min(p.px) as x0, min(p.py) as y0, max(p.px) as x1, max(p.py) as y1 from {_H} p join {_G} g on g.mode = 'bisection' and p.px >= g.c_llx and p.px <= g.c_urx and p.py >= g.c_lly and p.py <= g.c_ury group by g.srs")

@@ -174,7 +174,7 @@ def glue_order(spark, d):
     return found.select("top", F.array_join(F.transform("id", lambda p: p.cast("string")), ",").alias("id"), "rank")
 
 
-@query("prepare_glues")
+@query("prepare_glues", f"select s.tileset || '_' || t.tileset as path, cast(2 as int) as members from {_INC} i join (select distinct pos, tileset from {_C} c) s on s.pos = i.a join (select distinct pos, tileset from {_C} c) t on t.pos = i.b")
 def prepare_glues(spark, d):
     """Members of each glue found in the stack in order; a glue whose members are not all there in order is left out."""
     each = glues(spark, d).select("id", F.posexplode("id").alias("place", "pos")).join(names(spark, d), "pos")
