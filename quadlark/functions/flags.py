@@ -46,6 +46,12 @@ def reference(flags) -> Column:
     return F.shiftright(col(flags).cast("bigint"), 16)
 
 
+def source_reference(flags) -> Column:
+    """0 for a tile that is not real, its reference if it has one, 1 otherwise."""
+    ref = reference(flags)
+    return F.when(~real(flags), 0).when(ref > 0, ref).otherwise(1)
+
+
 def allow_deny(flags, allow: int, deny: int) -> Column:
     """Some allowed bit, and some bit outside the denied ones."""
     return has(flags, allow) & (col(flags).bitwiseAND(F.lit(~deny).cast("bigint")) != 0)

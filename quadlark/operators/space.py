@@ -83,12 +83,19 @@ def tile_mapping(sources: DataFrame, lod: Column, box: tuple[float, float, float
     return out.withColumn("to_y", F.explode(F.sequence(y0, F.greatest(y0, y1))))
 
 
-def sanitized_frame(frame: DataFrame) -> DataFrame:
-    """Frame nodes linked up: every node's ancestors exist (barren where none was given), child flags follow the nodes, constraints come with
-    manual children; bisection nodes with children are marked."""
-    up = ix.ancestors(frame.select(*KEY)).select(*KEY).distinct()
+def sanitized_frame(frame: DataFrame, parts: DataFrame) -> DataFrame:
+    """Frame nodes linked up: every node's ancestors exist (barren where none was given), child flags follow the nodes, and bisection nodes
+    with children are marked. parts: partition extents of manual nodes by child (lod, x, y, c_llx .. c_ury, in the parent's system); they
+    become the child's constraints, and a child that has none of its own rows is put in as an invalid one."""
+    listed = frame.select(*KEY, "srs", "mode")
+    listed = listed.unionByName(parts.join(listed, KEY, "left_anti").select(*KEY, F.lit("").alias("srs"), F.lit("invalid").alias("mode")))
+    up = ix.ancestors(listed.select(*KEY)).select(*KEY).distinct()
     kids = up.where("lod > 0").groupBy((F.col("lod") - 1).cast("int").alias("lod"), shr("x", 1).alias("x"), shr("y", 1).alias("y")).agg(F.bit_or(shl(1, F.col("x").bitwiseAND(1) + F.col("y").bitwiseAND(1) * 2)).alias("kids"))
-    own = frame.select(*KEY, "srs", "mode")
-    out = up.join(own, KEY, "left").join(kids, KEY, "left")
+    out = up.join(listed, KEY, "left").join(kids, KEY, "left").join(parts, KEY, "left")
     mode = F.coalesce("mode", F.lit("barren"))
-    return out.select(*KEY, F.coalesce("srs", F.lit("")).alias("srs"), mode.alias("mode"), F.coalesce("kids", F.lit(0).cast("bigint")).alias("kids"), ((mode == "bisection") & F.col("kids").isNotNull()).alias("broken"))
+    return out.select(*KEY, F.coalesce("srs", F.lit("")).alias("srs"), mode.alias("mode"), F.coalesce("kids", F.lit(0).cast("bigint")).alias("kids"), ((mode == "bisection") & F.col("kids").isNotNull()).alias("broken"), "c_llx", "c_lly", "c_urx", "c_ury")
+
+
+def root_levels(frame: DataFrame) -> DataFrame:
+    """The level range of the real nodes."""
+    return frame.where(F.col("mode").isin("manual", "bisection")).agg(F.min("lod").alias("low"), F.max("lod").alias("high"))

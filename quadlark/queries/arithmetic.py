@@ -140,10 +140,10 @@ def ranges_pyramid(spark, d):
     return up.select("id", (F.col("lod") - F.col("k")).cast("int").alias("lod"), *named(t.box_parent(BOX, "k"), BOX))
 
 
-@query("flag_filter", f"select lod, x, y, flags, (flags & 2) <> 0 as watertight, ((flags & 5) <> 0 and (flags & ~cast(3 as bigint)) <> 0) as allowed, flags >> 16 as reference from ({fx.A}) a where (flags & 1) <> 0 and (flags & 12) = 4")
+@query("flag_filter", f"select lod, x, y, flags, (flags & 2) <> 0 as watertight, ((flags & 5) <> 0 and (flags & ~cast(3 as bigint)) <> 0) as allowed, flags >> 16 as reference, cast(case when flags & 1 = 0 then 0 when flags >> 16 > 0 then flags >> 16 else 1 end as bigint) as source from ({fx.A}) a where (flags & 1) <> 0 and (flags & 12) = 4")
 def flag_filter(spark, d):
     f = tiles_a(spark, d).where(fl.real("flags") & fl.check("flags", 12, 4))
-    return f.select(*TILE, "flags", fl.watertight("flags").alias("watertight"), fl.allow_deny("flags", 5, 3).alias("allowed"), fl.reference("flags").alias("reference"))
+    return f.select(*TILE, "flags", fl.watertight("flags").alias("watertight"), fl.allow_deny("flags", 5, 3).alias("allowed"), fl.reference("flags").alias("reference"), fl.source_reference("flags").cast("bigint").alias("source"))
 
 
 def _names_sql(table, column="flags") -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import mesh as me
+from ..sources.obj import obj_lines
 from . import query
 
 _E = f"({fx.FACES})"
@@ -100,10 +101,7 @@ def mesh_cleanup(spark, d):
 @query("obj_export", f"select mesh, cast(sum(case when n = 1 then 1 else 0 end) as bigint) as vertices, arg_min('v ' || x || ' ' || y || ' ' || z, first) as first_line, cast(count(distinct f) as bigint) as faces from (select *, row_number() over (partition by mesh, v order by place) as n from {_KI} i) t group by mesh")
 def obj_export(spark, d):
     """A mesh as text: v lines by index, then f lines with numbers from 1; here their counts and the first line."""
-    i = me.indexed(coarse(spark, d))
-    v = i.select("mesh", "v", F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("line")).distinct()
-    f = i.groupBy("mesh", "f").agg(F.concat_ws(" ", F.lit("f"), F.transform(F.array_sort(F.collect_list(F.struct("corner", "v"))), lambda s: (s["v"] + 1).cast("string"))).alias("line"))
-    lines = v.select("mesh", F.lit(0).alias("kind"), F.col("v").alias("at"), "line").unionByName(f.select("mesh", F.lit(1).alias("kind"), F.col("f").alias("at"), "line"))
+    lines = obj_lines(coarse(spark, d))
     return lines.groupBy("mesh").agg(F.count_if(F.col("kind") == 0).alias("vertices"), F.min_by("line", F.struct("kind", "at")).alias("first_line"), F.count_if(F.col("kind") == 1).alias("faces"))
 
 

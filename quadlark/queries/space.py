@@ -71,14 +71,17 @@ def rf_leaves(spark, d):
     return g.join(F.broadcast(kids), KEY, "left").select(*KEY, real.alias("real"), (real & F.col("kid").isNull()).alias("leaf"))
 
 
-_LOOSE = f"(select lod, x, y, srs, mode from {_G} g where lod > 0 union all select cast(3 as int), cast(5 as bigint), cast(2 as bigint), 'z', 'bisection')"
-_UPS = f"(select distinct cast(lod - k as int) as lod, x >> k as x, y >> k as y from {_LOOSE} l, {UP} where k <= lod)"
+_LOOSE = f"(select lod, x, y, srs, mode from {_G} g where lod > 0 and srs <> 'b' union all select cast(3 as int), cast(5 as bigint), cast(2 as bigint), 'z', 'bisection')"
+_PARTS = f"(select lod, x, y, c_llx, c_lly, c_urx, c_ury from {_G} g where c_llx is not null)"
+_LISTED = f"(select * from {_LOOSE} l union all select lod, x, y, '' as srs, 'invalid' as mode from {_PARTS} p where not exists (select 1 from {_LOOSE} l where l.lod = p.lod and l.x = p.x and l.y = p.y))"
+_UPS = f"(select distinct cast(lod - k as int) as lod, x >> k as x, y >> k as y from {_LISTED} l, {UP} where k <= lod)"
 
 
-@query("rf_sanitize", f"select u.lod, u.x, u.y, coalesce(l.srs, '') as srs, coalesce(l.mode, 'barren') as mode, coalesce(c.kids, 0) as kids, coalesce(l.mode, 'barren') = 'bisection' and c.kids is not null as broken from {_UPS} u left join {_LOOSE} l using (lod, x, y) left join (select cast(lod - 1 as int) as lod, x >> 1 as x, y >> 1 as y, cast(bit_or(cast(1 as bigint) << cast((x & 1) + 2 * (y & 1) as int)) as bigint) as kids from {_UPS} q where lod > 0 group by 1, 2, 3) c using (lod, x, y)")
+@query("rf_sanitize", f"select u.lod, u.x, u.y, coalesce(l.srs, '') as srs, coalesce(l.mode, 'barren') as mode, coalesce(c.kids, 0) as kids, coalesce(l.mode, 'barren') = 'bisection' and c.kids is not null as broken, c_llx, c_lly, c_urx, c_ury from {_UPS} u left join {_LISTED} l using (lod, x, y) left join (select cast(lod - 1 as int) as lod, x >> 1 as x, y >> 1 as y, cast(bit_or(cast(1 as bigint) << cast((x & 1) + 2 * (y & 1) as int)) as bigint) as kids from {_UPS} q where lod > 0 group by 1, 2, 3) c using (lod, x, y) left join {_PARTS} p using (lod, x, y)")
 def rf_sanitize(spark, d):
-    """A frame without its root and with a far node: ancestors come in as barren nodes."""
-    return sp.sanitized_frame(fx.sql(spark, d, f"select * from {_LOOSE} l"))
+    """A frame without its root, without one manual child and with a far node: ancestors come in as barren nodes, the child as an invalid one."""
+    parts = fx.sql(spark, d, f"select * from {_PARTS} p")
+    return sp.sanitized_frame(fx.sql(spark, d, f"select * from {_LOOSE} l"), parts)
 
 
 @query("deepest_navtile", f"select id, cast(max(lod) as int) as lod, arg_max(x, lod) as x, arg_max(y, lod) as y, arg_max(flags, lod) as flags from (select p.id, t.* from (select id, cast(least(floor((px + 180) / 360.0e0 * 256), 255) as bigint) as x8, cast(least(floor((90 - py) / 180.0e0 * 256), 255) as bigint) as y8 from {_H} h where px between -180 and 180 and py between -90 and 90) p, {UP} join {_A} t on t.lod = 8 - k and t.x = p.x8 >> k and t.y = p.y8 >> k) q group by id")

@@ -85,3 +85,17 @@ def test_registries(spark, tmp_path):
     assert (rows[0].mode, rows[0].child_flags, rows[0].ury, rows[1].mode, rows[1].llx) == ("manual", 3, 2.0, "none", None)
     (tmp_path / "c.json").write_text(json.dumps({"a": {"id": 1}}))
     assert rg.dictionary(spark, f"file://{tmp_path}/c.json").first().id == "a"
+
+
+def test_obj_round_trip(spark, tmp_path):
+    from quadlark.operators.mesh import COORDS
+    from quadlark.sources import obj
+
+    rows = [(0, 0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.5), (0, 1, 1.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 0.5)]
+    faces = spark.createDataFrame(rows, "mesh int, f int, " + ", ".join(f"{c} double" for c in COORDS))
+    text = obj.obj_texts(faces).first().text
+    assert text.count("v ") == 4 and text.count("f ") == 2
+    (tmp_path / "m.obj").write_text("usemtl 3\n" + text + "\nf 1 2 4 3\nf -1 -2 -3\n")
+    back = obj.read_obj(spark, f"file://{tmp_path}/m.obj").orderBy("f").collect()
+    assert [tuple(r[c] for c in COORDS) for r in back[:2]] == [r[2:] for r in rows]
+    assert len(back) == 5 and {r.sm for r in back} == {3}
