@@ -15,7 +15,7 @@ from math import ceil, floor, gcd
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from .common import table, written
+from .common import small_batches, table
 
 BLOCK, PERIOD, MOST_SOURCES = 16, 2000, 100_000
 
@@ -73,14 +73,17 @@ def ranked(docs: DataFrame, counts: dict, per_bin: int = 4096) -> DataFrame:
     """
     bins = max(1, ceil(max(counts.values(), default=1) / per_bin))
     place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    binned = docs.withColumn("__source", F.col("source").cast("string")).withColumn("__place", place).withColumn("__bin", F.pmod(F.shiftright("__place", 16), F.lit(bins)))
-    inside = Window.partitionBy("__source", "__bin").orderBy("__place", "doc_id")
-    before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = binned.groupBy(F.col("__source").alias("source"), F.col("__bin").alias("bin")).count()
-    start = sizes.select("source", "bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    source = F.col("source").cast("string")
+    binned = docs.withColumn("__source", F.coalesce(source, F.lit(""))).withColumn("__none", source.isNull())
+    binned = binned.withColumn("__place", place).withColumn("__bin", F.pmod(F.shiftright("__place", 16), F.lit(bins)))
+    # One exchange serves the window and the join: both go by the same three columns, none of them null.
+    by = ["__source", "__none", "__bin"]
+    inside = Window.partitionBy(*by).orderBy("__place", "doc_id")
+    before = Window.partitionBy("__source", "__none").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    start = binned.groupBy(*by).count().select(*by, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     numbered = binned.withColumn("__row", F.row_number().over(inside) - 1)
-    met = numbered.join(start, numbered["__source"].eqNullSafe(start["source"]) & (numbered["__bin"] == start["bin"]))
-    return met.select(*(numbered[c] for c in docs.columns), numbered["__source"], (F.col("start") + F.col("__row")).alias("__rank"))
+    met = numbered.join(start, by)
+    return met.select(*docs.columns, F.when(~F.col("__none"), F.col("__source")).alias("__source"), (F.col("__start") + F.col("__row")).alias("__rank"))
 
 
 def interleave(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -116,4 +119,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in scheduled order: files and their rows follow the slots."""
+    small_batches(spark)
     return interleave(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__slot", "__rank").sortWithinPartitions("__slot", "__rank").select(*docs.columns)
