@@ -12,9 +12,9 @@ entry, this takes bounded lookahead, and a pre-token of any length takes time in
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import held, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -46,7 +46,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], until: int = 1) -> list[bytes]:
 class Transducer:
     """Bytes of one pre-token to token ids. `most`: states kept before the cache starts anew."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         self.ranks, self.most = ranks, most
         self.text = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # the trie: node and byte to node
@@ -71,15 +71,17 @@ class Transducer:
                     self.token.append(-1)
                 at = self.child[at << 8 | byte]
             self.token[at] = i
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
+        """Lets all states go. They hold each other, so only the collector frees them."""
         self.states: dict[tuple, dict] = {}
-        self.start = self.state(((0, -1),))
+        self.start = self.state((0, -1))
+        gc.collect()
 
     def state(self, members: tuple) -> dict:
-        """members: (trie node, last token before its start) by start. A state holds its members at -1 and its steps by byte."""
+        """members: trie node and last token before its start, in turn, by start. A state holds its members at -1 and its steps by byte."""
         found = self.states.get(members)
         if found is None:
             found = self.states[members] = {-1: members}
@@ -96,38 +98,40 @@ class Transducer:
         """Whether no merge over the boundary comes before those that make a and b. A merge's rank is its time."""
         if a < 0:
             return True
-        if (a, b) not in self.follows:
-            if len(self.follows) > 300_000:
+        pair = a << 32 | b
+        if pair not in self.follows:
+            if len(self.follows) > 150_000:
                 self.follows.clear()
             left, right, never = [*self.edge(a, 1), 1 << 62], [*self.edge(b, 0), 1 << 62], 1 << 62
             x, y, text = 0, 0, self.text
             while True:
                 over = self.ranks.get(text[left[x]] + text[right[y]], never)
                 if over < left[x + 1] and over <= right[y + 1] and over < never:
-                    self.follows[a, b] = False
+                    self.follows[pair] = False
                     break
                 if left[x + 1] == right[y + 1] == never:
-                    self.follows[a, b] = True
+                    self.follows[pair] = True
                     break
                 if left[x + 1] <= right[y + 1]:
                     x += 1
                 else:
                     y += 1
-        return self.follows[a, b]
+        return self.follows[pair]
 
     def advance(self, state: dict, byte: int) -> tuple[dict, int]:
         kept, last, child, token, inner, follows = [], -1, self.child, self.token, self.inner, self.follows
-        for node, before in state[-1]:
+        members = iter(state[-1])
+        for node, before in zip(members, members):
             to = child.get(node << 8 | byte)
             if to is None:
                 continue
             if inner[to]:
-                kept.append((to, before))
+                kept += (to, before)
             if last < 0 and (t := token[to]) >= 0:
-                fits = follows.get((before, t))
+                fits = follows.get(before << 32 | t)
                 if self.may_follow(before, t) if fits is None else fits:
                     last = t
-        kept.append((0, last))
+        kept += (0, last)
         found = state[byte] = (self.state(tuple(kept)), last)
         return found
 
@@ -145,7 +149,7 @@ class Transducer:
             state, t = state.get(byte) or self.advance(state, byte)
             lasts.append(t)
             if len(lasts) >= every:
-                ends = {len(lasts) - self.depth[node] for node, _ in state[-1]}
+                ends = {len(lasts) - self.depth[node] for node in state[-1][::2]}
                 while len(ends) > 1:  # the tokenisations of the open starts, back to where they meet
                     far = max(ends)
                     ends = ends - {far} | {far - self.size[lasts[far - 1]]}
@@ -167,7 +171,10 @@ class Transducer:
             return [i for part in self.stream(piece) for i in part]
         state, lasts = self.start, []
         for byte in piece:
-            state, t = state.get(byte) or self.advance(state, byte)
+            try:
+                state, t = state[byte]
+            except KeyError:
+                state, t = self.advance(state, byte)
             lasts.append(t)
         return self.back(lasts, len(lasts))
 
@@ -175,7 +182,7 @@ class Transducer:
 class Encoder:
     """Whole texts to ids: pre-tokens by the pattern, each through the transducer, with a bounded memory of short ones."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, remembered: int = 150_000):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, remembered: int = 100_000):
         self.fst = Transducer(read_ranks(path))
         self.split = regex.compile(pattern)
         self.known: dict[str, list[int]] = {}
@@ -193,8 +200,12 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        known = self.known
         for m in self._pieces(text):
-            out += self.known.get(m) or self._learn(m)
+            ids = known.get(m)
+            if ids is None:
+                ids, known = self._learn(m), self.known
+            out += ids
         return out
 
     def _pieces(self, text: str) -> Iterable[str]:
@@ -248,9 +259,8 @@ def decode(ids: Iterable[int], text: dict[int, bytes], every: int = 4096) -> Ite
     yield stream.end()
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("bpe", path), lambda: Encoder(path))
 
 
 def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
@@ -263,24 +273,30 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        text = e.fst.text
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                n, sha, back, every = [], [], [], []
-                for t in part.column(1):
-                    ids = e.encode(t.as_py() or "")
-                    packed = np.array(ids, "<u4")
-                    plain = hashlib.sha256()
-                    for piece in decode(ids, text):
-                        plain.update(piece.encode("utf-8"))
-                    n.append(len(ids))
-                    sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
-                    back.append(plain.hexdigest())
-                    if keep_ids:
-                        every.append(packed.astype(np.int32))
-                more = [pa.array(every, pa.list_(pa.int32()))] if keep_ids else []
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
+        gc.disable()  # states make many small objects; reset() collects them when they are let go
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    yield encoded(e, b.slice(at, 256))
+        finally:
+            gc.enable()
+
+    def encoded(e: Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
+        n, sha, back, every, text = [], [], [], [], e.fst.text
+        for t in part.column(1):
+            ids = e.encode(t.as_py() or "")
+            packed = np.array(ids, "<u4")
+            plain = hashlib.sha256()
+            for piece in decode(ids, text):
+                plain.update(piece.encode("utf-8"))
+            n.append(len(ids))
+            sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
+            back.append(plain.hexdigest())
+            if keep_ids:
+                every.append(packed.astype(np.int32))
+        more = [pa.array(every, pa.list_(pa.int32()))] if keep_ids else []
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], names[: 4 + keep_ids])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -291,4 +307,5 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: ids of every document, with their digests."""
+    small_batches(spark)
     return round_trip(docs, public_tokenizers.path(VOCABULARY), keep_ids=True)

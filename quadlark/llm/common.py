@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +16,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+#: Bytes of an Arrow batch on its way to Python. Texts are long, and each executor keeps several batches and workers at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for Arrow batches to BATCH_BYTES, if it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", spark.conf.get(key))[0]) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,3 +70,19 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     df.write.option("compression", "zstd").parquet(at)
     atexit.register(_drop_quietly, spark, at)
     return spark.read.schema(schema).parquet(at), at
+
+
+_HELD: list = [None, None]
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """One large object for each worker process. Workers serve one operator after another, so what the last one left is let go first."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        gc.collect()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
+def let_go() -> None:
+    held(None, lambda: None)

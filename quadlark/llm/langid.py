@@ -8,13 +8,12 @@ whose prototype has the largest cosine with the text's vector.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, table
+from .common import fold, held, table
 
 DIMENSIONS = 512
 #: Letter classes: a space, a to z, and classes of code points for all other letters.
@@ -69,9 +68,8 @@ class Space:
         return counts[there].astype(np.float32) @ self.vectors[there].astype(np.float32)
 
 
-@lru_cache(2)
 def space(dimensions: int, seed: int) -> Space:
-    return Space(dimensions, seed)
+    return held(("space", dimensions, seed), lambda: Space(dimensions, seed))
 
 
 def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 17) -> dict[str, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import let_go, small_batches, table, written
 
 WIDTH, DIVISOR, LONG_LINE, LEAST_WORDS = 2, 1, 50, 50
 MASK, BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
@@ -56,6 +56,7 @@ def _signed(x: list[int]) -> pa.Array:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for b in batches:
         row, at, n, h = [], [], [], []
         for k, t in enumerate(b.column(2)):
@@ -154,6 +155,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text that stays."""
+    small_batches(spark)
     out = remove_repeats(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

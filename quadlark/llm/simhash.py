@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, written
+from .common import let_go, small_batches, table, written
 from .components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, width)
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp) of every row; fp as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -264,4 +265,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return deduplicate(docs)

@@ -12,14 +12,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import held, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -141,9 +140,8 @@ class Counts:
         return total
 
 
-@lru_cache(2)
 def counts(path: str) -> Counts:
-    return Counts(path)
+    return held(("counts", path), lambda: Counts(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:

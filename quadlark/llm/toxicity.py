@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import drop_table, fold, table, written
+from .common import drop_table, fold, let_go, table, written
 
 #: Bounds of the model: examples of each class, terms, examples in a block, neighbours; and what a term must show.
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 3000, 512, 64, 15
@@ -239,6 +239,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        let_go()
         return pd.Series([index.score(t)[0] for t in text], dtype="float64")
 
     return docs.withColumn("__score", score(F.col("text").cast("string"))).where("__score < 0.5").drop("__score")

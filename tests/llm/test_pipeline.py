@@ -28,3 +28,16 @@ def test_registered(spark):
 
     found = entry.queries()
     assert "pipeline" in found and all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 11))
+
+
+def test_odd_rows_in_every_stage(spark, make, odd):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    d = "/root/testdata/sf0.001"
+    for rows in (odd, []):
+        docs = make(rows)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs, _ = written(stage(spark, docs, d))
+            assert name == "byte_bpe" or docs.columns == columns
+        kept = [r.doc_id for r in docs.collect()]
+        assert len(kept) == len(set(kept)) and (len(kept) > 3) == bool(rows)
