@@ -139,13 +139,14 @@ def telling_terms(sample: DataFrame, n: dict[int, int]) -> list[str]:
     """Up to TERMS terms with the largest chi-squared towards toxic, each in at least LEAST_TEXTS texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen = {0: Counter(), 1: Counter()}
         for b in batches:
             for y, t in zip(b.column(0), b.column(1)):
                 seen[y.as_py()].update(terms(Counter(words(t.as_py()))).keys())
-            if sum(map(len, seen.values())) > 1_000_000:
-                yield out(seen)
-                seen = {0: Counter(), 1: Counter()}
+                if sum(map(len, seen.values())) > 100_000:
+                    yield out(seen)
+                    seen = {0: Counter(), 1: Counter()}
         yield out(seen)
 
     def out(seen: dict[int, Counter]) -> pa.RecordBatch:
@@ -216,6 +217,7 @@ def scores(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             found = [index.score(t.as_py()) for t in b.column(1)]
             shown = [[{"example": index.ids[i], "cosine": float(s)} for s, i in near[:evidence]] for _, near in found]
