@@ -65,17 +65,18 @@ def targets(counts: dict) -> dict:
     return {k: Fraction(round(1000 * n**0.5), 1000) for k, n in counts.items()}
 
 
-def ranked(docs: DataFrame, counts: dict, per_bin: int = 4096) -> DataFrame:
+def ranked(docs: DataFrame, counts: dict, per_bin: int = 1024) -> DataFrame:
     """docs with __rank, each row's place (from 0) in its source, in an order mixed by a hash of the id.
 
-    A source may hold most rows, so no window spans one: rows fall into bins by hash, are numbered within a bin, and the bins' sizes,
-    added up, give where each starts. The number of bins grows with the table.
+    A source may hold most rows, so no window spans one: its rows fall into bins by hash, about per_bin rows each, are numbered within a
+    bin, and the bins' sizes, added up, give where each starts. How many bins a source has is a row for each source, so it is broadcast.
     """
-    bins = max(1, ceil(max(counts.values(), default=1) / per_bin))
     place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     source = F.col("source").cast("string")
-    binned = docs.withColumn("__source", F.coalesce(source, F.lit(""))).withColumn("__none", source.isNull())
-    binned = binned.withColumn("__place", place).withColumn("__bin", F.pmod(F.shiftright("__place", 16), F.lit(bins)))
+    rows = [(k or "", k is None, ceil(n / per_bin)) for k, n in counts.items()]
+    bins = F.broadcast(docs.sparkSession.createDataFrame(rows, "__source string, __none boolean, __bins long"))
+    binned = docs.withColumn("__source", F.coalesce(source, F.lit(""))).withColumn("__none", source.isNull()).withColumn("__place", place)
+    binned = binned.join(bins, ["__source", "__none"]).withColumn("__bin", F.pmod(F.shiftright("__place", 16), F.col("__bins"))).drop("__bins")
     # One exchange serves the window and the join: both go by the same three columns, none of them null.
     by = ["__source", "__none", "__bin"]
     inside = Window.partitionBy(*by).orderBy("__place", "doc_id")
