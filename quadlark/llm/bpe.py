@@ -182,16 +182,16 @@ class Transducer:
 class Encoder:
     """Whole texts to ids: pre-tokens by the pattern, each through the transducer, with a bounded memory of short ones."""
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, remembered: int = 100_000):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, remembered: int = 300_000):
         self.fst = Transducer(read_ranks(path))
         self.split = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.remembered = remembered
 
-    def _learn(self, m: str) -> list[int]:
+    def _learn(self, m: str) -> tuple[int, ...]:
         """Ids of a pre-token that is not in the newer half of the memory."""
-        ids = self.older.get(m) or self.fst.encode(m.encode("utf-8"))
+        ids = self.older.get(m) or tuple(self.fst.encode(m.encode("utf-8")))
         if len(m) <= 64:
             if len(self.known) >= self.remembered:
                 self.older, self.known = self.known, {}
