@@ -56,7 +56,7 @@ def run(argv: list[str], spark: SparkSession) -> int:
     command("remove", path, ("ids", {"nargs": "+"}))
     command("tags", path, ("id", {}), ("--add", {"action": "append", "default": []}), ("--remove", {"action": "append", "default": []}))
     command("list-pending-glues", path, ("--tag", {}))
-    command("glue-generate", path, ("ids", {"nargs": 2}), ("--high", {"type": int, "default": 20}))
+    command("glue-generate", path, ("ids", {"nargs": "+"}), ("--high", {"type": int, "default": 20}))
     command("vs-create", path, ("name", {}), ("ids", {"nargs": "+"}))
     a = p.parse_args(argv)
     c = a.command

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import flags as fl
 from ..functions.text import glob_pattern
+from ..plans.levels import cut
 from . import index as ix
 
 KEY = ["lod", "x", "y"]
@@ -91,19 +92,29 @@ def newest_versions(stored: DataFrame, tag: str | None = None) -> DataFrame:
     return stored.groupBy("base_id").agg(F.max("version").alias("version"), F.max_by("tileset", "version").alias("tileset"), F.max_by("pos", "version").alias("pos"))
 
 
-def generate_set(a: DataFrame, b: DataFrame, high: int) -> DataFrame:
-    """Tiles where two layers (a below b) need a glue: both spheres of influence meet, less what the upper one's watertight tiles cover.
+def generate_set(layers: list[DataFrame], high: int) -> DataFrame:
+    """Tiles where layers (bottom to top) need a glue.
 
-    A sphere here is the finest level's descendants, all ancestors, and 2 x 2 siblings. Kept as quads until the last step.
+    Their spheres of influence meet: of tiles with a mesh or influenced ones, the finest level's descendants down to `high`, all
+    ancestors, and 2 x 2 siblings. What upper layers cover for certain goes: the watertight tiles of the top, and those of the layers between,
+    with their finest level's descendants; the bottom covers nothing. Ancestors and siblings of what is left come back in, so that
+    every tile can be reached. Kept as quads until what is left is known; each sphere and meeting is used twice, so it is written once.
     """
 
     def sphere(s: DataFrame) -> DataFrame:
-        seed = ix.simplify(s, fl.MESH)
-        return ix.quads(ix.grow_up(seed, 0, 1)).unionByName(ix.complete_down(seed, high, 1, from_bottom=True).where("lod > qlod"))
-
-    both = ix.quad_intersect(sphere(a), sphere(b))
-    covered = ix.simplify(b, fl.WATERTIGHT | fl.MESH, fl.WATERTIGHT | fl.MESH)
-    return ix.subtract(ix.expand(ix.prune(both), 0, high), covered)
+        seed = ix.simplify(s, fl.MESH | fl.ALIEN)
+        return cut(ix.quads(ix.grow_up(seed, 0, 1)).unionByName(ix.complete_down(seed, high, 1, from_bottom=True).where("lod > qlod")))
+
+    *_, top = layers
+    met = sphere(top)
+    for s in layers[:-1]:
+        met = cut(ix.quad_intersect(met, sphere(s)))
+    tiles = ix.expand(ix.prune(met), 0, high)
+    tiles = ix.subtract(tiles, ix.simplify(top, fl.WATERTIGHT))
+    for s in layers[1:-1]:
+        sure = ix.complete_down(ix.simplify(s, fl.WATERTIGHT), high, 1, from_bottom=True)
+        tiles = ix.subtract(tiles, ix.expand(sure, 0, high))
+    return ix.grow_up(tiles, 0, 1)
 
 
 def ancestor_asof(wanted: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,10 +20,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _drop(spark: SparkSession, at: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended; its shared folder goes with it
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes to the shared folder and reads back, so what follows starts from files that outlive executors."""
+    """Writes to the shared folder and reads back, so what follows starts from files that outlive executors. They go when the driver ends."""
     at = f"{shared_dir(df.sparkSession)}/level-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    atexit.register(_drop, df.sparkSession, at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -123,20 +123,33 @@ def ancestor_asof(spark, d):
     return st.ancestor_asof(b(spark, d), src)
 
 
+def _bottom_down_sql(seed: str) -> str:
+    """Descendants, down to level 8, of a source's finest level."""
+    return f"(select cast(s.lod + k as int) as lod, (s.x << k) + i as x, (s.y << k) + j as y from (select * from {seed} z where lod = (select max(lod) from {seed} m)) s, (values (1), (2)) u(k), (select unnest(range(4)) as i) p, (select unnest(range(4)) as j) q where i < (1 << k) and j < (1 << k) and s.lod + k <= 8)"
+
+
+def _grown_sql(seed: str) -> str:
+    """A source's tiles and ancestors, closed by 2 x 2."""
+    return f"(select lod, x, y from {round_sql(f'(select u.*, {ONE} as flags from {up_sql(seed)} u)')} g)"
+
+
 def _sphere_sql(source: str) -> str:
-    seed = f"(select lod, x, y from {source} z where flags & 1 <> 0)"
-    grown = f"(select lod, x, y from {round_sql(f'(select u.*, {ONE} as flags from {up_sql(seed)} u)')} g)"
-    down = f"(select cast(s.lod + k as int) as lod, (s.x << k) + i as x, (s.y << k) + j as y from (select * from {seed} z where lod = (select max(lod) from {seed} m)) s, (values (1), (2)) u(k), (select unnest(range(4)) as i) p, (select unnest(range(4)) as j) q where i < (1 << k) and j < (1 << k) and s.lod + k <= 8)"
-    return f"(select lod, x, y from {grown} a union select lod, x, y from {down} b)"
+    seed = f"(select lod, x, y from {source} z where flags & 33 <> 0)"
+    return f"(select lod, x, y from {_grown_sql(seed)} a union select lod, x, y from {_bottom_down_sql(seed)} b)"
 
 
+#: Three layers: the bottom, one between and the top.
 _LOW6 = f"(select * from {_A} l where lod <= 6)"
-_GEN = f"(select lod, x, y from {_sphere_sql(_LOW6)} p intersect select lod, x, y from {_sphere_sql(_B)} q)"
-_GENERATE = f"(select g.* from {_GEN} g where lod <= 8 and not exists (select 1 from {_B} b where b.flags & 3 = 3 and b.lod = g.lod and b.x = g.x and b.y = g.y))"
+_MID = f"(select * from {_A} l where lod <= 6 and flags & 12 <> 0)"
+_SURE = f"(select lod, x, y from {_MID} z where flags & 2 <> 0)"
+_COVERED = f"(select lod, x, y from {_B} b where flags & 2 <> 0 union select lod, x, y from {_SURE} s union select lod, x, y from {_bottom_down_sql(_SURE)} t)"
+_GEN = f"(select lod, x, y from {_sphere_sql(_LOW6)} p intersect select lod, x, y from {_sphere_sql(_MID)} m intersect select lod, x, y from {_sphere_sql(_B)} q)"
+_GENERATE = _grown_sql(f"(select g.* from {_GEN} g where lod <= 8 and not exists (select 1 from {_COVERED} b where b.lod = g.lod and b.x = g.x and b.y = g.y))")
 
 
 def generated(spark, d):
-    return st.generate_set(a(spark, d).where("lod <= 6"), b(spark, d), 8)
+    low = a(spark, d).where("lod <= 6")
+    return st.generate_set([low, low.where(fl.has("flags", 12)), b(spark, d)], 8)
 
 
 @query("glue_generate", f"select lod, x, y, {ONE} as flags from {_GENERATE} g")

@@ -117,11 +117,8 @@ class Storage:
         return [s["id"] for s in stack if best.get(s["base"]) is s]
 
     def generate_glue(self, names: list[str], high: int) -> int:
-        """Works out the tiles of a pending pair's glue and stores them; an empty result is remembered as such. Gives their number."""
-        if len(names) != 2:
-            raise ValueError("glue sets are worked out pair by pair")
-        low, top = (self.dataset(n).read().select("lod", "x", "y", "flags") for n in names)
-        tiles = st.generate_set(low, top, high)
+        """Works out the tiles of a pending glue (ids bottom to top) and stores them; an empty result is remembered as such. Gives their number."""
+        tiles = st.generate_set([self.dataset(n).read().select("lod", "x", "y", "flags") for n in names], high)
         d = Dataset(self.spark, f"{self.path}/glues/{'_'.join(names)}")
         d.write(tiles)
         n = d.read().count()
