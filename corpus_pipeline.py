@@ -7,10 +7,12 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 from quadlark.llm.common import table, written
+from quadlark.ship import ship
 
 
 def _stage(module: str, name: str):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         return getattr(importlib.import_module(f"quadlark.llm.{module}"), name)(spark, docs, sf_dir)
 
     return run

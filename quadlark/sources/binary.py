@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..ship import ship
+
 #: Marks at the beginning of files, and of the trees in them (fixed values).
 INDEX_MAGIC, TREE_MAGIC, TREE_MAGIC_1, MASK_MAGIC, MAP_MAGIC = b"TI", b"qt", b"QT", b"QMASK", b"TM"
 #: Node types in two bits of a flag byte, the mark of black-and-white trees, and the inner node of the first version (fixed values).
@@ -134,6 +136,7 @@ def tile_indices(spark: SparkSession, path: str) -> DataFrame:
                 columns = np.array(rows, np.int64).reshape(-1, 5).T
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), pa.string()), pa.array(columns[0].astype(np.int32)), pa.array(columns[1].astype(np.int32)), *map(pa.array, columns[2:])], ["file", "lod", "qlod", "qx", "qy", "flags"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(decode, "file string, lod int, qlod int, qx bigint, qy bigint, flags bigint")
 
@@ -146,6 +149,7 @@ def index_files(tiles: DataFrame) -> DataFrame:
         cells = {(x, y): f for x, y, f in zip(*(t.column(c).to_pylist() for c in ("x", "y", "flags")))}
         return pa.table({"tileset": t.column("tileset")[:1], "lod": t.column("lod")[:1], "tree": pa.array([write_tree(lod, cells)], pa.binary())})
 
+    ship(tiles.sparkSession)
     trees = tiles.groupBy("tileset", "lod").applyInArrow(tree, "tileset string, lod int, tree binary")
 
     def join(t: pa.Table) -> pa.Table:
@@ -178,4 +182,5 @@ def read_maps(files: DataFrame) -> DataFrame:
 
         return pd.Series([read_map(bytes(c)) for c in content])
 
+    ship(files.sparkSession)
     return files.select("path", decode("content").alias("maps"))

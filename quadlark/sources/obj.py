@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.mesh import COORDS, indexed
+from ..ship import ship
 
 FACES = "file string, sm int, f int, " + ", ".join(f"{c} double" for c in COORDS)
 
@@ -41,6 +42,7 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
                 out.insert(0, "file", name)
                 yield out
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FACES)
 
 
