@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from ..ship import ship
+
 _OPS = {
     "op1_simhash_near_dedup": "simhash.op1",
     "op2_lm_scoring": "maxent.op2",
@@ -20,7 +22,12 @@ _OPS = {
 
 def _query(where: str):
     module, name = where.split(".")
-    return lambda spark, sf_dir: getattr(importlib.import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
+
+    def run(spark, sf_dir):
+        ship(spark)
+        return getattr(importlib.import_module(f"{__package__}.{module}"), name)(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
