@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tiles import shl, shr
+from ..plans.levels import cut
 
 KEY = ["lod", "x", "y"]
 QUAD = ["lod", "qlod", "qx", "qy"]
@@ -191,13 +192,22 @@ def complete_down(a: DataFrame, high: int, mask: int = 0xFF, from_bottom: bool =
     return quads(a).unionByName(down)
 
 
+def _ancestor_keys(q: DataFrame, held: DataFrame, strictly: bool) -> DataFrame:
+    """Distinct quads with their ancestors' keys (lod, u, ux, uy) at the depths u that `held` has for their level: a few numbers for each level,
+    so they are broadcast."""
+    depths = F.broadcast(held.select("lod", F.col("qlod").alias("u")).distinct())
+    above = F.col("u") < F.col("qlod") if strictly else F.col("u") <= F.col("qlod")
+    up = q.select(*QUAD).distinct().join(depths, "lod").where(above)
+    return up.select(*QUAD, "u", shr("qx", F.col("qlod") - F.col("u")).alias("ux"), shr("qy", F.col("qlod") - F.col("u")).alias("uy"))
+
+
+def _as_keys(q: DataFrame) -> DataFrame:
+    return q.select("lod", F.col("qlod").alias("u"), F.col("qx").alias("ux"), F.col("qy").alias("uy"))
+
+
 def prune(q: DataFrame) -> DataFrame:
     """Drops quads that lie within another quad of the same level set (values aside)."""
-    k = F.explode(F.sequence(F.lit(0), F.col("qlod")))
-    outer = q.select(*QUAD).distinct()
-    up = outer.withColumn("u", k).where("u < qlod").select(*QUAD, "u", shr("qx", F.col("qlod") - F.col("u")).alias("ux"), shr("qy", F.col("qlod") - F.col("u")).alias("uy"))
-    held = outer.select("lod", F.col("qlod").alias("u"), F.col("qx").alias("ux"), F.col("qy").alias("uy"))
-    inside = up.join(held, ["lod", "u", "ux", "uy"], "left_semi").select(*QUAD).distinct()
+    inside = _ancestor_keys(q, q, True).join(_as_keys(q), ["lod", "u", "ux", "uy"], "left_semi").select(*QUAD)
     return q.join(inside, QUAD, "left_anti")
 
 
@@ -205,10 +215,7 @@ def quad_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """Quads in both sets: of each meeting pair, the finer one. Two equi-joins over ancestor keys, no cross join."""
 
     def finer(f: DataFrame, c: DataFrame) -> DataFrame:
-        up = f.select(*QUAD).distinct().withColumn("u", F.explode(F.sequence(F.lit(0), F.col("qlod"))))
-        up = up.withColumn("ux", shr("qx", F.col("qlod") - F.col("u"))).withColumn("uy", shr("qy", F.col("qlod") - F.col("u")))
-        held = c.select("lod", F.col("qlod").alias("u"), F.col("qx").alias("ux"), F.col("qy").alias("uy")).distinct()
-        return up.join(held, ["lod", "u", "ux", "uy"], "left_semi").select(*QUAD)
+        return _ancestor_keys(f, c, False).join(_as_keys(c), ["lod", "u", "ux", "uy"], "left_semi").select(*QUAD)
 
     return finer(a, b).unionByName(finer(b, a)).distinct().withColumn("flags", F.lit(1).cast("bigint"))
 
@@ -222,12 +229,13 @@ def sphere_of_influence(a: DataFrame, low: int, high: int, mask: int = 0xFF) ->
     """Quads of the grown set: descendants of the matching tiles down to `high`, then ancestors and siblings up to `low`.
 
     Descendants' ancestors below a tile are its descendants, and they bring no siblings of their own: 2 x 2 blocks under a tile are
-    whole. So siblings are closed over the tiles and their ancestors, and the blocks' descendants follow as quads.
+    whole. So siblings are closed over the tiles and their ancestors, and the blocks' descendants follow as quads. Pruning reads
+    them several times, so they are written once.
     """
     seed = clamp(simplify(a, mask), low, high)
     whole = grow_up(seed, low, 1)
     down = complete_down(seed, high, 1).where("lod > qlod")
-    return prune(quads(clamp(whole, low, high)).unionByName(down))
+    return prune(cut(quads(clamp(whole, low, high)).unionByName(down)))
 
 
 def distribute(a: DataFrame, mask: int, high: int) -> DataFrame:

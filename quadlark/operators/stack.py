@@ -36,16 +36,18 @@ def cliques(pairs: DataFrame, with_layer: int | None = None, most: int = 6) -> D
     """Sets of two or more layers that all overlap pairwise, as sorted arrays; with a given layer in them, if wanted.
 
     Grown one layer a round: a clique (.., b) and an edge (b, c) give (.., b, c) if every other member has an edge to c. Rounds stop at
-    `most` members or when nothing grows. Layers of a stack are few; each round is one join on the last member and one anti join.
+    `most` members or when nothing grows. Each is one join on the last member and one anti join, and is written once.
     """
-    edges = pairs.select("a", "b")
+    edges = cut(pairs.select("a", "b"))
     now = edges.select(F.array("a", "b").alias("id"))
     out = now
     for _ in range(most - 2):
         grown = now.withColumn("a", F.element_at("id", -1)).join(edges, "a").select(F.concat("id", F.array("b")).alias("id"), "b")
         need = grown.select("id", "b", F.explode(F.slice("id", 1, F.size("id") - 2)).alias("m"))
         missing = need.join(edges.select(F.col("a").alias("m"), "b"), ["m", "b"], "left_anti").select("id").distinct()
-        now = grown.join(missing, "id", "left_anti").select("id")
+        now = cut(grown.join(missing, "id", "left_anti").select("id"))
+        if now.isEmpty():
+            break
         out = out.unionByName(now)
     return out if with_layer is None else out.where(F.array_contains("id", with_layer))
 
