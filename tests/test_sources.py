@@ -99,3 +99,27 @@ def test_obj_round_trip(spark, tmp_path):
     back = obj.read_obj(spark, f"file://{tmp_path}/m.obj").orderBy("f").collect()
     assert [tuple(r[c] for c in COORDS) for r in back[:2]] == [r[2:] for r in rows]
     assert len(back) == 5 and {r.sm for r in back} == {3}
+
+
+def test_metatiles(spark, tmp_path):
+    import math
+
+    import pandas as pd
+
+    from quadlark.sources import metatile as mt
+
+    rng = random.Random(4)
+    rows = []
+    for x in range(35, 41):
+        for y in range(64, 67):
+            box = [0.0, 0.25, 0.5, 1.0] if x % 2 else [math.nan] * 4
+            rows.append((7, x, y, rng.choice((1, 3, 0x101)), -1.5, 2.0, 0.5, *box, 2, rng.choice((0.5, 2.0, 512.0)), 256, -3, 900, rng.choice((0, 7, 300)), sorted(rng.sample(range(1, 9), rng.randint(0, 3)))))
+    nodes = pd.DataFrame(rows, columns=mt.NAMES)
+    data = mt.write_metatile(nodes)
+    assert mt.read_credits(data) == sorted({c for r in rows for c in r[-1]})
+    (tmp_path / "a.meta").write_bytes(data)
+    back_rows = [tuple(r) for r in mt.metatiles(spark, f"file://{tmp_path}/a.meta").collect()]
+    plain = lambda v: None if isinstance(v, float) and math.isnan(v) else v
+    assert sorted(map(str, back_rows)) == sorted(map(str, (tuple(map(plain, r)) for r in rows)))
+    with pytest.raises(ValueError):
+        mt.read_metatile(b"xx" + data[2:])
