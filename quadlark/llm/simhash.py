@@ -16,16 +16,14 @@ forest of the links, not all pairs; buckets beyond `cap` go on in blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import let_go, small_batches, table, written
+from .common import held, let_go, small_batches, table, trim, written
 from .components import components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, width)
@@ -55,13 +53,17 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-@lru_cache(1)
 def golay() -> np.ndarray:
     """The index of the nearest codeword for each of the 2^23 words."""
+    return held("golay", _golay)
+
+
+def _golay() -> np.ndarray:
     message = np.arange(4096, dtype=np.int64)
     rest = message << 11
     for bit in range(22, 10, -1):  # division by the generator x^11+x^9+x^7+x^6+x^5+x+1
@@ -221,7 +223,8 @@ def links(fps: DataFrame, bits: int = 4, cap: int = 1 << 16) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.select("fp").repartition(parts, "fp").mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    # Each fingerprint makes some 180 rows: dealt anew, by a hash of its own, as the planner drops a second exchange by fp alone.
+    rows = fps.select("fp").repartition(parts, F.xxhash64("fp")).mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
     out, _ = written(rows.mapInArrow(_link_runs(bits, cap), "u long, v long, part int").distinct())
     more = out.where("part >= 0")
     near = out.where("part < 0").select("u", "v")
@@ -251,9 +254,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = docs.join(stay, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
     alone = group.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
 
-    @F.pandas_udf("long")
-    def fp_of(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def fp_of(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py()) for t in text], np.uint64).view(np.int64))
 
     nameless = docs.where("doc_id is null").withColumn("__fp", fp_of(F.col("text").cast("string")))
     return kept.unionByName(nameless.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
