@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import let_go, small_batches, table, written
+from .common import let_go, small_batches, table, trim, written
 
 WIDTH, DIVISOR, LONG_LINE, LEAST_WORDS = 2, 1, 50, 50
 MASK, BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
@@ -128,17 +128,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found, _ = written(marked(docs))
     bad = unlike_hashes(found)
 
-    @F.pandas_udf("struct<text string, removed array<int>>")
-    def without(text, places):
-        import pandas as pd
-
-        out = []
-        for t, c in zip(text, places):
-            lines = t.split("\n")
-            gone = cut(lines, [x["at"] for x in c], [x["n"] for x in c], bad)
-            there = set(gone)
-            out.append(("\n".join(x for i, x in enumerate(lines) if i not in there), gone))
-        return pd.DataFrame(out, columns=["text", "removed"])
+    @F.arrow_udf("struct<text string, removed array<int>>")
+    def without(text: pa.Array, places: pa.Array) -> pa.Array:
+        left, gone = [], []
+        for t, c in zip(text, places.to_pylist()):
+            lines = t.as_py().split("\n")
+            gone.append(cut(lines, [x["at"] for x in c], [x["n"] for x in c], bad))
+            there = set(gone[-1])
+            left.append("\n".join(x for i, x in enumerate(lines) if i not in there))
+        trim()
+        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["text", "removed"])
 
     hit = found.where("__chunks is not null").withColumn("__new", without(F.col("text").cast("string"), F.col("__chunks")))
     hit = hit.withColumn("text", F.col("__new.text")).withColumn("__removed", F.col("__new.removed"))

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import drop_table, fold, let_go, table, written
+from .common import drop_table, fold, let_go, table, trim, written
 
 #: Bounds of the model: examples of each class, terms, examples in a block, neighbours; and what a term must show.
 EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 3000, 512, 64, 15
@@ -239,9 +238,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; all others stay as they are."""
     index = learn(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0))
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         let_go()
-        return pd.Series([index.score(t)[0] for t in text], dtype="float64")
+        trim()
+        return pa.array([index.score(t.as_py())[0] for t in text], pa.float64())
 
     return docs.withColumn("__score", score(F.col("text").cast("string"))).where("__score < 0.5").drop("__score")
