@@ -22,7 +22,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import held, small_batches, table
+from .common import held, small_batches, table, working
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -272,14 +272,15 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        gc.disable()  # states make many small objects; reset() collects them when they are let go
-        try:
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    yield encoded(e, b.slice(at, 256))
-        finally:
-            gc.enable()
+        with working():
+            e = encoder(path)
+            gc.disable()  # states make many small objects; reset() collects them when they are let go
+            try:
+                for b in batches:
+                    for at in range(0, b.num_rows, 256):
+                        yield encoded(e, b.slice(at, 256))
+            finally:
+                gc.enable()
 
     def encoded(e: Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
         n, sha, back, every, text = [], [], [], [], e.fst.text

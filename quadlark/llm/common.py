@@ -8,8 +8,9 @@ import ctypes
 import gc
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -90,6 +91,22 @@ def let_go() -> None:
     held(None, lambda: None)
 
 
+_IDLE: list = [None]
+
+
+@contextlib.contextmanager
+def working(idle_s: float = 3.0) -> Iterator[None]:
+    """Around a task with a held object: once the worker has had no such task for a while, the object goes and its memory with it."""
+    if _IDLE[0]:
+        _IDLE[0].cancel()
+    try:
+        yield
+    finally:
+        _IDLE[0] = threading.Timer(idle_s, lambda: (let_go(), trim()))
+        _IDLE[0].daemon = True
+        _IDLE[0].start()
+
+
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can: many small strings leave their heap in pieces."""
     with contextlib.suppress(OSError, AttributeError):
