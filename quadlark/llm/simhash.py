@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import neardup
 from .common import held, let_go, small_batches, table, trim, written
 from .components import components
 
@@ -247,19 +248,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates stays, with all its columns: the one with the least doc_id, and one
-    row of it if its id repeats. Rows without an id stay only if no row with an id is in their group, one for each fingerprint."""
-    group, _ = written(near_duplicates(docs.select("doc_id", "text")))
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, with all its columns: the one with
+    the least doc_id, and one row of it if its id repeats. Rows without an id stay only if no row with an id is in their group, one for
+    each text."""
+    group, _ = written(neardup.groups(docs.select("doc_id", "text")))
     stay = group.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
     kept = docs.join(stay, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    alone = group.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
+    alone = group.where("component_id is null").select(F.col("t").alias("__t")).distinct()
 
     @F.arrow_udf("long")
-    def fp_of(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py()) for t in text], np.uint64).view(np.int64))
+    def key_of(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([neardup.text_key(neardup.text_words(t.as_py())) for t in text], np.uint64).view(np.int64))
 
-    nameless = docs.where("doc_id is null").withColumn("__fp", fp_of(F.col("text").cast("string")))
-    return kept.unionByName(nameless.join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp"))
+    nameless = docs.where("doc_id is null").withColumn("__t", key_of(F.col("text").cast("string")))
+    return kept.unionByName(nameless.join(alone, "__t", "left_semi").dropDuplicates(["__t"]).drop("__t"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
