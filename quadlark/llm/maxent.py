@@ -27,8 +27,9 @@ from .common import fold, table, written
 
 #: Tokens of a piece; words with classes of their own; words of such a class; surface classes; rows for hashed pairs.
 PIECE, COMMON, SLOTS, SURFACE, HASHED = 1_000_000, 512, 32, 32, 1 << 13
-#: Rounds over the corpus, the share of positions a round uses is 1 / THIN (other positions each round), tokens of a mini-batch, step.
-ROUNDS, THIN, BATCH, STEP = 2, 4, 8192, 0.15
+#: The share of positions a round uses is 1 / THIN (other positions each round), rounds so that each position is used, tokens of a mini-batch, step.
+THIN, BATCH, STEP = 4, 8192, 0.15
+ROUNDS = THIN
 FREQUENT = COMMON // SLOTS
 CLASSES, CONTEXT = FREQUENT + SURFACE, COMMON + SURFACE + 1
 SKIPS = 4
@@ -206,6 +207,11 @@ def unpacked(ids: bytes, lens: bytes, held: bytes, tokens: bytes) -> tuple[np.nd
     return np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64), np.frombuffer(held, bool), np.frombuffer(tokens, np.int32)
 
 
+def used_in(number: int, ids: np.ndarray, lens: np.ndarray, held: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which positions a round trains on: over all rounds, each one of a training text."""
+    return ~np.repeat(held, lens) & ((np.arange(len(begin)) - begin + np.repeat(ids, lens)) % THIN == number % THIN)
+
+
 PARTS = ("of_class", "of_slot", "class_power", "slot_power")
 ROWS = 2048
 
@@ -219,7 +225,7 @@ def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
             for row in zip(*(b.column(k) for k in range(5))):
                 ids, lens, held, tokens = unpacked(*map(plain, row[:4]))
                 begin = np.repeat(np.cumsum(lens) - lens, lens)
-                used = ~np.repeat(held, lens) & ((np.arange(len(tokens)) - begin + np.repeat(ids, lens)) % THIN == number % THIN)
+                used = used_in(number, ids, lens, held, begin)
                 train(own, own.codes(plain(row[4]).split(b"\n"))[tokens], begin, used)
                 any_used |= bool(used.any())
         if any_used:

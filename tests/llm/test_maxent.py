@@ -73,3 +73,11 @@ def test_no_training_rows_and_no_rows(make, odd):
     rows = me.score(make(odd).withColumn("held", F.lit(True))).collect()
     assert len(rows) == len(odd) and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in rows)
     assert me.score(make([]).withColumn("held", fold(F.col("doc_id"), 7) == 2)).count() == 0
+
+
+def test_every_position_trains():
+    """Over the rounds, each position of the texts that are not held is used, and none of the others."""
+    ids, lens, held = np.array([5, 6, -3]), np.array([13, 7, 9]), np.array([False, True, False])
+    begin = np.repeat(np.cumsum(lens) - lens, lens)
+    used = sum(me.used_in(k, ids, lens, held, begin).astype(int) for k in range(me.ROUNDS))
+    assert (used[~np.repeat(held, lens)] >= 1).all() and not used[np.repeat(held, lens)].any()
