@@ -1,6 +1,7 @@
 """Line dedup with content-defined chunks.
 
-A rolling hash runs over the hashes of a text's lines, `width` lines at a time. Where it is divisible by `divisor`, a chunk of these
+A rolling hash runs over the hashes of a text's lines that hold words, `width` lines at a time; blank lines between them belong to the
+chunk, however many there are. Where it is divisible by `divisor`, a chunk of these
 lines is cut; so boundaries depend on the lines alone and stand wherever the passage stands. A line of `long_line` or more words
 is a chunk by itself. A chunk found in several places is repeated; its first place (least doc_id, then position) keeps it. Chunks that
 overlap or touch join to runs, and a run of at least `least_words` words is taken out.
@@ -33,16 +34,17 @@ def line_hash(line: str) -> int:
 
 
 def chunks(lines: list[str], width: int = WIDTH, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> list[tuple[int, int, int]]:
-    """(first line, number of lines, hash) of each chunk. A chunk of several lines needs a word in two of them at least."""
-    hashes = [line_hash(x) for x in lines]
-    words = [bool(x.strip()) for x in lines]
+    """(first line, number of lines, hash) of each chunk. A chunk starts and ends with a line that holds words; blank ones in it count as lines."""
     out, rolled, oldest = [], 0, pow(BASE, width, 1 << 64)
-    for i, h in enumerate(hashes):
-        if words[i] and len(lines[i].split()) >= long_line:
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    hashes = [line_hash(lines[i]) for i in full]
+    for k, (i, h) in enumerate(zip(full, hashes)):
+        if len(lines[i].split()) >= long_line:
             out.append((i, 1, h))
-        rolled = (rolled * BASE + h - (hashes[i - width] * oldest if i >= width else 0)) & MASK
-        if i >= width - 1 and (rolled >> 32) % divisor == 0 and sum(words[i - width + 1 : i + 1]) > 1:
-            out.append((i - width + 1, width, rolled ^ MASK))
+        rolled = (rolled * BASE + h - (hashes[k - width] * oldest if k >= width else 0)) & MASK
+        if k >= width - 1 and (rolled >> 32) % divisor == 0:
+            first = full[k - width + 1]
+            out.append((first, i - first + 1, rolled ^ MASK))
     return out
 
 
@@ -61,7 +63,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, at, n, h = [], [], [], []
         for k, t in enumerate(b.column(2)):
             text = t.as_py()
-            for c in chunks(text.split("\n")) if text else ():
+            lines = text.split("\n") if text else []
+            for c in chunks(lines):
                 row.append(k)
                 at.append(c[0])
                 n.append(c[1])
@@ -96,8 +99,8 @@ def marked(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), _key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     found, _ = written(rows.mapInArrow(_chunk_rows, "id long, key long, at int, n int, h long").distinct())
     places = F.struct("id", "key", "at")
-    twice = found.groupBy("h", "n").agg(F.count("*").alias("times"), F.min(places).alias("first")).where("times > 1")
-    again = found.join(twice.select("h", "n", "first"), ["h", "n"]).where(places != F.col("first"))
+    twice = found.groupBy("h").agg(F.count("*").alias("times"), F.min(places).alias("first")).where("times > 1")
+    again = found.join(twice.select("h", "first"), "h").where(places != F.col("first"))
     by_text = again.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("at", "n")).alias("__chunks"))
     return docs.join(by_text, (F.col("doc_id") == F.col("__id")) & (_key(F.col("text")) == F.col("__key")), "left").drop("__id", "__key")
 

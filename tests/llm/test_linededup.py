@@ -89,3 +89,14 @@ def test_odd_rows(make, odd):
     assert sorted(map(str, (r.doc_id for r in out.collect()))) == sorted(str(r[0]) for r in odd)
     assert {r.text for r in out.collect()} == {r[1] for r in odd}
     assert ld.remove_repeats(make([])).count() == 0
+
+
+def test_paragraphs_between_blank_lines(make):
+    """Three paragraphs of 30 words, blank lines between them: the passage goes everywhere but in its first place."""
+    rng = random.Random(6)
+    passage = [line(rng, 30) for _ in range(3)]
+    rows = [(i, line(rng, 9) + "\n\n" + "\n\n".join(passage) + "\n" + line(rng, 9)) for i in range(5)]
+    rows.append((5, passage[0] + "\n \n\n" + "\n".join(passage[1:])))
+    got = {r.doc_id: r for r in ld.remove_repeats(make(rows)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(list(got[i]["__removed"]) == [2, 3, 4, 5, 6] for i in range(1, 5)) and got[5].text == ""
