@@ -9,13 +9,14 @@ overlap or touch join to runs, and a run of at least `least_words` words is take
 With a larger divisor fewer chunks are indexed, but a passage of m lines is missed with probability (1 - 1/divisor)^(m-1);
 production takes 1, as passages of two to five lines are common and a row for each line is small beside the text.
 
-Hashes only propose. Before anything goes, the lines of all proposed chunks are grouped by hash and compared as
-bytes; a hash that stands for unlike lines removes nothing.
+Hashes only propose. Chunks are repeats if the 128-bit digests of their lines' bytes are equal too, those of the first place
+included. Besides, the lines that may go are grouped by hash and compared as bytes; a hash that stands for unlike lines removes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,11 @@ def chunks(lines: list[str], width: int = WIDTH, divisor: int = DIVISOR, long_li
     return out
 
 
+def digest(lines: list[str]) -> bytes:
+    """Of the bytes of the lines that hold words, and of their number."""
+    return blake2b("\n".join(x for x in lines if x.strip()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _key(text) -> F.Column:
     """Tells rows of one doc_id apart; equal rows are one document."""
     return F.xxhash64(text)
@@ -60,7 +66,7 @@ def _signed(x: list[int]) -> pa.Array:
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     let_go()
     for b in batches:
-        row, at, n, h = [], [], [], []
+        row, at, n, h, same = [], [], [], [], []
         for k, t in enumerate(b.column(2)):
             text = t.as_py()
             lines = text.split("\n") if text else []
@@ -69,8 +75,9 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(c[0])
                 n.append(c[1])
                 h.append(c[2])
+                same.append(digest(lines[c[0] : c[0] + c[1]]))
         take = pa.array(row, pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), _signed(h)], ["id", "key", "at", "n", "h"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), _signed(h), pa.array(same, pa.binary())], ["id", "key", "at", "n", "h", "same"])
 
 
 def cut(lines: list[str], at: list[int], n: list[int], bad: frozenset[int] = frozenset(), least_words: int = LEAST_WORDS) -> list[int]:
@@ -97,10 +104,10 @@ def marked(docs: DataFrame) -> DataFrame:
     the repeats back is a plain equi-join, whose hot keys adaptive execution splits.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), _key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    found, _ = written(rows.mapInArrow(_chunk_rows, "id long, key long, at int, n int, h long").distinct())
+    found, _ = written(rows.mapInArrow(_chunk_rows, "id long, key long, at int, n int, h long, same binary").distinct())
     places = F.struct("id", "key", "at")
-    twice = found.groupBy("h").agg(F.count("*").alias("times"), F.min(places).alias("first")).where("times > 1")
-    again = found.join(twice.select("h", "first"), "h").where(places != F.col("first"))
+    twice = found.groupBy("h", "same").agg(F.count("*").alias("times"), F.min(places).alias("first")).where("times > 1")
+    again = found.join(twice.select("h", "same", "first"), ["h", "same"]).where(places != F.col("first"))
     by_text = again.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("at", "n")).alias("__chunks"))
     return docs.join(by_text, (F.col("doc_id") == F.col("__id")) & (_key(F.col("text")) == F.col("__key")), "left").drop("__id", "__key")
 

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quadlark.llm import linededup as ld
@@ -100,3 +101,20 @@ def test_paragraphs_between_blank_lines(make):
     got = {r.doc_id: r for r in ld.remove_repeats(make(rows)).collect()}
     assert got[0].text == rows[0][1]
     assert all(list(got[i]["__removed"]) == [2, 3, 4, 5, 6] for i in range(1, 5)) and got[5].text == ""
+
+
+def test_first_place_is_compared(make, monkeypatch):
+    """Unlike chunks under one rolled hash: neither goes, as the first place's bytes are not those of the second."""
+    real = ld._chunk_rows
+
+    def one_hash(batches):
+        for b in real(batches):
+            columns = [pa.array([7] * b.num_rows, pa.int64()) if k == "h" else b.column(k) for k in b.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    monkeypatch.setattr(ld, "_chunk_rows", one_hash)
+    rng = random.Random(7)
+    rows = [(i, "\n".join(line(rng, 30) for _ in range(3))) for i in range(2)]
+    rows.append((2, rows[1][1]))
+    got = {r.doc_id: r.text for r in ld.remove_repeats(make(rows)).collect()}
+    assert got == {0: rows[0][1], 1: rows[1][1], 2: ""}
