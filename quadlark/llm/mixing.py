@@ -2,17 +2,21 @@
 
 Each source is a task with a weight of share / period. Its i-th block (from 1) is released at slot (i-1)/w, rounded down, and due by slot
 i/w, rounded up. In every slot the released block with the earliest deadline goes next. After any number t of slots each
-source has then been given less than one block more or less than t * w. With whole shares the schedule repeats after one period,
-so the driver works out one period, and every document's place follows from its rank in its source by arithmetic.
+source has then been given less than one block more or less than t * w, where w is the exact weight, a fraction.
+
+Each slot depends on those before, so one task runs through the schedule, a step for each block, and gives its slots out as rows as it goes.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 from functools import reduce
-from math import ceil, floor, gcd
+from itertools import count, islice
+from math import ceil, floor, gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from .common import small_batches, table
@@ -34,22 +38,56 @@ def whole_shares(weights: dict, period: int = PERIOD) -> dict:
     return {k: s // by for k, s in shares.items()}
 
 
-def schedule(shares: dict) -> list:
-    """Which source each slot of one period gets. Ties of deadlines go to the earlier release, then to the order of names."""
-    period = sum(shares.values())
-    order = {k: n for n, k in enumerate(sorted(shares, key=lambda k: (k is None, str(k))))}
-    coming = [(0, n, k, 1) for k, n in order.items()]
-    heapq.heapify(coming)
-    ready, out = [], []
-    for slot in range(period):
+def in_order(keys) -> list:
+    return sorted(keys, key=lambda k: (k is None, str(k)))
+
+
+def turns(shares: list[int]) -> Iterator[tuple[int, int]]:
+    """(source, block), both from 0, of slot after slot without end; shares in the order of sources. Ties of deadlines go to the earlier release, then to the order of sources."""
+    period, ready = sum(shares), []
+    coming = [(0, n, 0) for n in range(len(shares))]
+    for slot in count():
         while coming and coming[0][0] <= slot:
-            release, n, k, i = heapq.heappop(coming)
-            heapq.heappush(ready, (ceil(Fraction(i * period, shares[k])), release, n, k, i))
-        _, _, n, k, i = heapq.heappop(ready)
-        out.append(k)
-        if i < shares[k]:
-            heapq.heappush(coming, (floor(Fraction(i * period, shares[k])), n, k, i + 1))
-    return out
+            release, n, i = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(i + 1) * period // shares[n]), release, n, i))
+        _, _, n, i = heapq.heappop(ready)
+        yield n, i
+        heapq.heappush(coming, ((i + 1) * period // shares[n], n, i + 1))
+
+
+def schedule(shares: dict) -> list:
+    """Which source each slot of one period gets."""
+    names = in_order(shares)
+    return [names[n] for n, _ in islice(turns([shares[k] for k in names]), sum(shares.values()))]
+
+
+def exact_shares(weights: dict) -> dict:
+    """Weights as whole shares in lowest terms, in exactly the proportions given."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    whole = lcm(*(w.denominator for w in exact.values()))
+    shares = {k: int(w * whole) for k, w in exact.items()}
+    by = gcd(*shares.values())
+    return {k: s // by for k, s in shares.items()}
+
+
+def slots(spark: SparkSession, shares: dict, blocks: dict) -> DataFrame:
+    """(__source, __none, block, slot) of every block there is; a source that has run out leaves its slots empty."""
+    names = in_order(shares)
+    each, size = [shares[k] for k in names], [blocks[k] for k in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            there = ((n, i, slot) for slot, (n, i) in enumerate(turns(each)) if i < size[n])
+            left = sum(size)
+            while left:
+                n, i, slot = zip(*islice(there, min(left, 65536)))
+                left -= len(n)
+                columns = [pa.array([names[x] or "" for x in n], pa.string()), pa.array([names[x] is None for x in n], pa.bool_()), pa.array(i, pa.int64()), pa.array(slot, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["__source", "__none", "block", "slot"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "__source string, __none boolean, block long, slot long")
 
 
 def counted(docs: DataFrame) -> dict:
@@ -65,11 +103,12 @@ def targets(counts: dict) -> dict:
     return {k: Fraction(round(1000 * n**0.5), 1000) for k, n in counts.items()}
 
 
-def ranked(docs: DataFrame, counts: dict, per_bin: int = 1024) -> DataFrame:
-    """docs with __rank, each row's place (from 0) in its source, in an order mixed by a hash of the id.
+def ranked(docs: DataFrame, counts: dict, per_bin: int = 1024, block: int = BLOCK, slots: DataFrame | None = None) -> DataFrame:
+    """docs with __rank, each row's place (from 0) in its source, in an order mixed by a hash of the id; with the slots of blocks, __slot too.
 
     A source may hold most rows, so no window spans one: its rows fall into bins by hash, about per_bin rows each, are numbered within a
     bin, and the bins' sizes, added up, give where each starts. How many bins a source has is a row for each source, so it is broadcast.
+    A bin's start comes with the slots of the few blocks that the bin has rows of, so the texts are dealt out once.
     """
     place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     source = F.col("source").cast("string")
@@ -81,35 +120,30 @@ def ranked(docs: DataFrame, counts: dict, per_bin: int = 1024) -> DataFrame:
     by = ["__source", "__none", "__bin"]
     inside = Window.partitionBy(*by).orderBy("__place", "doc_id")
     before = Window.partitionBy("__source", "__none").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    start = binned.groupBy(*by).count().select(*by, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    start = binned.groupBy(*by).count().select(*by, "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    if slots is not None:
+        first, last = F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("count") - 1) / block)
+        wanted = start.select(*by, "__start", F.explode(F.sequence(first, last)).alias("block")).join(slots, ["__source", "__none", "block"])
+        start = wanted.groupBy(*by).agg(F.first("__start").alias("__start"), F.min("block").alias("__first"), F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("__slots"))
     numbered = binned.withColumn("__row", F.row_number().over(inside) - 1)
-    met = numbered.join(start, by)
-    return met.select(*docs.columns, F.when(~F.col("__none"), F.col("__source")).alias("__source"), (F.col("__start") + F.col("__row")).alias("__rank"))
+    rank = F.col("__start") + F.col("__row")
+    met = numbered.join(start.drop("count"), by).withColumn("__rank", rank)
+    more = [] if slots is None else [F.element_at("__slots", (F.floor(F.col("__rank") / block) - F.col("__first") + 1).cast("int"))["slot"].alias("__slot")]
+    return met.select(*docs.columns, F.when(~F.col("__none"), F.col("__source")).alias("__source"), "__rank", *more)
 
 
-def interleave(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def interleave(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """docs with __source, __rank, __block, __slot: the slot of the global schedule in which the row's block goes out.
 
     All rows are scheduled; a source that has run out leaves its slots empty, so the others keep their proportions. A null source is a
     source; sources without a weight get the least one given; an empty table gives an empty one. Rows of one slot follow by rank.
-    The table of slots has one row for each slot of a period (at most `period`, or the number of sources if larger), so it is broadcast.
     """
     counts = counted(docs)
     weights = targets(counts) if weights is None else {k: weights.get(k, min(weights.values())) for k in counts}
-    shares = whole_shares(weights, period) if counts else {}
-    turn, rows = {}, []
-    for slot, k in enumerate(schedule(shares)):
-        rows.append((k, turn.get(k, 0), slot, shares[k]))
-        turn[k] = turn.get(k, 0) + 1
-    slots = docs.sparkSession.createDataFrame(rows, "source string, turn long, slot long, share long")
-    share = F.broadcast(slots.where("turn = 0").select(F.col("source").alias("__s"), "share"))
-    slots = F.broadcast(slots.select(F.col("source").alias("__t"), "turn", "slot"))
-    found = ranked(docs, counts)
-    found = found.withColumn("__block", F.floor(F.col("__rank") / block))
-    found = found.join(share, F.col("__source").eqNullSafe(F.col("__s")))
-    found = found.join(slots, F.col("__source").eqNullSafe(F.col("__t")) & (F.col("__block") % F.col("share") == F.col("turn")))
-    found = found.withColumn("__slot", F.floor(F.col("__block") / F.col("share")) * sum(shares.values()) + F.col("slot"))
-    return found.select(*docs.columns, "__source", "__rank", "__block", "__slot")
+    shares = exact_shares(weights) if counts else {}
+    given = slots(docs.sparkSession, shares, {k: ceil(n / block) for k, n in counts.items()})
+    found = ranked(docs, counts, block=block, slots=given)
+    return found.withColumn("__block", F.floor(F.col("__rank") / block)).select(*docs.columns, "__source", "__rank", "__block", "__slot")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,16 @@ def test_odd_rows_and_stage(spark, make, odd, tmp_path):
     assert out.columns == docs.columns and out.count() == len(odd)
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert mx.stage(spark, make([]), "").count() == 0
+
+
+def test_deviation_from_weights_given(spark):
+    """Weights that no 2,000 whole shares express, over many stretches."""
+    weights = {"hot": 2236068, **{f"m{k}": 547723 for k in range(30)}, "tiny": 4472}
+    shares = mx.exact_shares(weights)
+    assert all(shares["hot"] * w == s * weights["hot"] for s, w in zip(shares.values(), weights.values()))
+    blocks, total = {k: 400 if k[0] == "m" else 2000 if k == "hot" else 2 for k in weights}, sum(weights.values())
+    rows = mx.slots(spark, shares, blocks).collect()
+    assert len(rows) == len({r.slot for r in rows}) == sum(blocks.values())
+    for r in rows:
+        exact = weights[r["__source"]]
+        assert exact * r.slot < (r.block + 1) * total and (r.slot + 1) * exact > r.block * total
