@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import held, small_batches, table, working
 
@@ -263,13 +263,13 @@ def encoder(path: str) -> Encoder:
     return held(("bpe", path), lambda: Encoder(path))
 
 
-def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every row; a null or empty text has no tokens.
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False, place: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, and place from the column so named) of every row; a null or empty text has no tokens.
 
     Further columns of `docs` are ignored; equal rows give equal rows; an empty table an empty result. The texts are
     encoded where they are read: no shuffle.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", place long" * bool(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with working():
@@ -295,18 +295,40 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             back.append(plain.hexdigest())
             if keep_ids:
                 every.append(packed.astype(np.int32))
-        more = [pa.array(every, pa.list_(pa.int32()))] if keep_ids else []
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], names[: 4 + keep_ids])
+        more = [pa.array(every, pa.list_(pa.int32()))] * keep_ids + [part.column(2)] * bool(place)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids + ["place"] * bool(place)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([place] if place else [])).mapInArrow(run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with __place, each row's place from 0 over its files, taken by part number, and the rows within them; rows that come from no files have their place in the partitions.
+
+    How many rows come before a file is one row for each file, so it is broadcast.
+    """
+    if not docs.inputFiles():
+        return docs.withColumn("__place", F.monotonically_increasing_id())
+    path = F.col("_metadata.file_path")
+    rows = docs.select(*docs.columns, path.alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    name = F.substring_index("__file", "/", -1)
+    order = [F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"), name]
+    sizes = docs.select(path.alias("__file")).groupBy("__file").count()
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.select("__file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(start), "__file").select(*docs.columns, (F.col("__start") + F.col("__index")).alias("__place"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: ids of every document, with their digests."""
+    """The last stage: ids of every document, with their digests, and its place in the order of the stage before; files and their rows follow it.
+
+    The texts are dealt out by place before they are encoded, so that sampling their range encodes nothing.
+    """
     small_batches(spark)
-    return round_trip(docs, public_tokenizers.path(VOCABULARY), keep_ids=True)
+    rows = placed(docs).select("doc_id", "text", "__place")
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__place").sortWithinPartitions("__place")
+    return round_trip(rows, public_tokenizers.path(VOCABULARY), keep_ids=True, place="__place")

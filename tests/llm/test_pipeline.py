@@ -41,3 +41,19 @@ def test_odd_rows_in_every_stage(spark, make, odd):
             assert name == "byte_bpe" or docs.columns == columns
         kept = [r.doc_id for r in docs.collect()]
         assert len(kept) == len(set(kept)) and (len(kept) > 3) == bool(rows)
+
+
+def test_schedule_reaches_the_end(spark, make):
+    """Over several files of unlike sizes, the last stage's places and files follow the slots of the mixing stage."""
+    from quadlark.llm import bpe, mixing
+
+    rows = [(i, f"text {i} " * (1 + i % 90), "en", "big" if i % 5 else "small") for i in range(600)]
+    docs = make(rows)
+    plan = {r.doc_id: (r["__slot"], r["__rank"]) for r in mixing.interleave(docs).collect()}
+    mixed, _ = written(mixing.stage(spark, docs, ""))
+    assert len(mixed.inputFiles()) > 2
+    out, _ = written(bpe.stage(spark, mixed, ""))
+    got = out.select("doc_id", "place", "_metadata.file_name", "_metadata.row_index").collect()
+    by_place = [r.doc_id for r in sorted(got, key=lambda r: r.place)]
+    assert by_place == sorted(plan, key=plan.get) and sorted(r.place for r in got) == list(range(600))
+    assert by_place == [r.doc_id for r in sorted(got, key=lambda r: (r.file_name, r.row_index))]
