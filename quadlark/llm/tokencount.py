@@ -3,6 +3,10 @@
 A pre-token whose string is in the vocabulary with its word end is one token if and only if the merges, run on that
 string, end in it. That is proved once for every entry when the vocabulary is loaded, so a matching pre-token is counted by
 one look-up; only the rest are merged, and their counts remembered up to a bound.
+
+The library's Unicode tables are not Python's. A character is plain if the library, asked once when it is first met, normalises and
+splits it as Python does, and if its version of normalisation can't matter; texts of plain characters are normalised and split here,
+all others by the library itself.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import held, table
@@ -44,6 +49,8 @@ class Counts:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.plain_ones, self.other_ones = set(), set()
         letters = byte_letters()
         self.letters = letters
         self.bytes = {c: b for b, c in letters.items()}
@@ -110,11 +117,44 @@ class Counts:
 
     def normal(self, text: str) -> str:
         """NFC, blanks to one space, and lower case by single characters (no final sigma). Blanks only split, so here they may stay."""
-        if text.isascii():
-            return text.lower()
         text = unicodedata.normalize("NFC", text)
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
+    def library_words(self, text: str) -> list[str]:
+        """Pre-tokens as the library's normaliser and pre-tokeniser give them."""
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.bytes[c] for c in word).decode("utf-8") for word, _ in found]
+
+    def _is_plain(self, c: str) -> bool:
+        """Normalisation is the same in all Unicode versions that know a text's characters; a later one joins no others if it is no mark and
+        has no parts. Beside a letter and beside a sign, a character of each class splits differently."""
+        known = unicodedata.ucd_3_2_0.category(c) != "Cn"
+        category = unicodedata.category(c)
+        if not known and (category[0] == "M" or category == "Cn" or unicodedata.combining(c) or unicodedata.decomposition(c)):
+            return False
+        around = f"a{c}a !{c}!"
+        return self.split.findall(self.normal(around)) == self.library_words(around)
+
+    def all_plain(self, text: str) -> bool:
+        there = set(text)
+        if not there <= self.plain_ones:
+            if not there.isdisjoint(self.other_ones):
+                return False
+            for c in there - self.plain_ones:
+                (self.plain_ones if self._is_plain(c) else self.other_ones).add(c)
+            return there <= self.plain_ones
+        return True
+
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if text.isascii():
+            return self.split.findall(text.lower())
+        if self.all_plain(text):
+            normal = self.normal(text)
+            if self.all_plain(normal):
+                return self.split.findall(normal)
+        return self.library_words(text)
+
     def count(self, text: str) -> int:
         total, at = 0, 0
         if self.special:
@@ -125,7 +165,7 @@ class Counts:
 
     def _plain(self, text: str) -> int:
         total, whole, known, older = 0, self.whole, self.known, self.older
-        for word, n in Counter(self.split.findall(self.normal(text))).items():
+        for word, n in Counter(self.words(text)).items():
             if word in whole:
                 total += n
                 continue
