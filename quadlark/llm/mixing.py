@@ -103,56 +103,71 @@ def targets(counts: dict) -> dict:
     return {k: Fraction(round(1000 * n**0.5), 1000) for k, n in counts.items()}
 
 
-def ranked(docs: DataFrame, counts: dict, per_bin: int = 1024, block: int = BLOCK, slots: DataFrame | None = None) -> DataFrame:
-    """docs with __rank, each row's place (from 0) in its source, in an order mixed by a hash of the id; with the slots of blocks, __slot too.
+def packed(docs: DataFrame) -> DataFrame:
+    """(__row, __source, __none, __place, __tie): each row as one column, so that no name of its own clashes, and where it belongs.
+
+    __place mixes by a hash of the id and of all that the row holds (maps apart), so rows of one id, or of none, are spread as well.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    held = [F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+    row, source = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.col("source").cast("string")
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *held)
+    return docs.select(row.alias("__row"), F.coalesce(source, F.lit("")).alias("__source"), source.isNull().alias("__none"), place.alias("__place"), F.struct(F.col("doc_id").cast("string").alias("i"), F.hash(*held).alias("h")).alias("__tie"))
+
+
+def ranked(docs: DataFrame, counts: dict, slots: DataFrame, per_bin: int = 1024, block: int = BLOCK) -> DataFrame:
+    """(__row, __source, __none, __rank, __slot): each row's place (from 0) in its source, in an order mixed by hashes of the row, and the
+    slot of its block. Rows of one place and id follow by another hash; those that are still tied are equal, but for a collision.
 
     A source may hold most rows, so no window spans one: its rows fall into bins by hash, about per_bin rows each, are numbered within a
     bin, and the bins' sizes, added up, give where each starts. How many bins a source has is a row for each source, so it is broadcast.
     A bin's start comes with the slots of the few blocks that the bin has rows of, so the texts are dealt out once.
     """
-    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    source = F.col("source").cast("string")
     rows = [(k or "", k is None, ceil(n / per_bin)) for k, n in counts.items()]
     bins = F.broadcast(docs.sparkSession.createDataFrame(rows, "__source string, __none boolean, __bins long"))
-    binned = docs.withColumn("__source", F.coalesce(source, F.lit(""))).withColumn("__none", source.isNull()).withColumn("__place", place)
-    binned = binned.join(bins, ["__source", "__none"]).withColumn("__bin", F.pmod(F.shiftright("__place", 16), F.col("__bins"))).drop("__bins")
+    binned = packed(docs).join(bins, ["__source", "__none"]).withColumn("__bin", F.pmod(F.shiftright("__place", 16), F.col("__bins"))).drop("__bins")
     # One exchange serves the window and the join: both go by the same three columns, none of them null.
     by = ["__source", "__none", "__bin"]
-    inside = Window.partitionBy(*by).orderBy("__place", "doc_id")
+    inside = Window.partitionBy(*by).orderBy("__place", "__tie")
     before = Window.partitionBy("__source", "__none").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     start = binned.groupBy(*by).count().select(*by, "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    if slots is not None:
-        first, last = F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("count") - 1) / block)
-        wanted = start.select(*by, "__start", F.explode(F.sequence(first, last)).alias("block")).join(slots, ["__source", "__none", "block"])
-        start = wanted.groupBy(*by).agg(F.first("__start").alias("__start"), F.min("block").alias("__first"), F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("__slots"))
-    numbered = binned.withColumn("__row", F.row_number().over(inside) - 1)
-    rank = F.col("__start") + F.col("__row")
-    met = numbered.join(start.drop("count"), by).withColumn("__rank", rank)
-    more = [] if slots is None else [F.element_at("__slots", (F.floor(F.col("__rank") / block) - F.col("__first") + 1).cast("int"))["slot"].alias("__slot")]
-    return met.select(*docs.columns, F.when(~F.col("__none"), F.col("__source")).alias("__source"), "__rank", *more)
+    first, last = F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("count") - 1) / block)
+    wanted = start.select(*by, "__start", F.explode(F.sequence(first, last)).alias("block")).join(slots, ["__source", "__none", "block"])
+    start = wanted.groupBy(*by).agg(F.first("__start").alias("__start"), F.min("block").alias("__first"), F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("__slots"))
+    met = binned.withColumn("__in", F.row_number().over(inside) - 1).join(start, by).withColumn("__rank", F.col("__start") + F.col("__in"))
+    slot = F.element_at("__slots", (F.floor(F.col("__rank") / block) - F.col("__first") + 1).cast("int"))["slot"]
+    return met.select("__row", F.when(~F.col("__none"), F.col("__source")).alias("__source"), "__rank", slot.alias("__slot"))
+
+
+def scheduled(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
+    """(__row, __source, __rank, __slot) of every row."""
+    counts = counted(docs)
+    weights = targets(counts) if weights is None else {k: weights.get(k, min(weights.values())) for k in counts}
+    shares = exact_shares(weights) if counts else {}
+    given = slots(docs.sparkSession, shares, {k: ceil(n / block) for k, n in counts.items()})
+    return ranked(docs, counts, given, block=block)
 
 
 def interleave(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """docs with __source, __rank, __block, __slot: the slot of the global schedule in which the row's block goes out.
 
     All rows are scheduled; a source that has run out leaves its slots empty, so the others keep their proportions. A null source is a
-    source; sources without a weight get the least one given; an empty table gives an empty one. Rows of one slot follow by rank.
+    source; sources without a weight get the least one given; an empty table gives an empty one. Rows of one slot follow by rank. Null and
+    repeated ids are rows like others, equal rows get places next to each other. Further columns pass through whatever their names,
+    but for columns of these four names, which are replaced. Texts are neither read nor cut.
     """
-    counts = counted(docs)
-    weights = targets(counts) if weights is None else {k: weights.get(k, min(weights.values())) for k in counts}
-    shares = exact_shares(weights) if counts else {}
-    given = slots(docs.sparkSession, shares, {k: ceil(n / block) for k, n in counts.items()})
-    found = ranked(docs, counts, block=block, slots=given)
-    return found.withColumn("__block", F.floor(F.col("__rank") / block)).select(*docs.columns, "__source", "__rank", "__block", "__slot")
+    own = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in ("__source", "__rank", "__block", "__slot")]
+    return scheduled(docs, weights, block).select(*own, "__source", "__rank", F.floor(F.col("__rank") / block).alias("__block"), "__slot")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, block (within the source), slot (of the whole schedule), rank (within the source)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").drop("text")
     return interleave(docs).select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__rank").alias("rank"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in scheduled order: files and their rows follow the slots."""
     small_batches(spark)
-    return interleave(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__slot", "__rank").sortWithinPartitions("__slot", "__rank").select(*docs.columns)
+    found = scheduled(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__slot", "__rank").sortWithinPartitions("__slot", "__rank")
+    return found.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

@@ -65,3 +65,32 @@ def test_deviation_from_weights_given(spark):
     for r in rows:
         exact = weights[r["__source"]]
         assert exact * r.slot < (r.block + 1) * total and (r.slot + 1) * exact > r.block * total
+
+
+NAMES = "share turn slot block count n place source2 __row __source __none __place __tie __bins __bin __in __start __first __slots __rank __slot __block i h".split()
+
+
+def test_any_further_names(spark):
+    """Every name that the plan uses inside may be a column of the documents."""
+    columns = ", ".join(f"`{n}` string" for n in NAMES)
+    rows = [(i % 40, f"text {i}", "en", "ab"[i % 3 > 0], *(f"{n}{i}" for n in NAMES)) for i in range(120)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {columns}")
+    out = mx.stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+    assert mx.interleave(docs).count() == 120
+
+
+def test_ties_are_settled(make):
+    """Rows of one id, or of none, with unlike texts: the same places however the rows lie; equal rows next to each other."""
+    rows = [(i % 3 if i % 4 else None, f"text {i}", "en", "a") for i in range(90)] + [(7, "same", "en", "a")] * 5
+    first, second = ({r.text: r["__rank"] for r in mx.interleave(make(x).repartition(n)).collect()} for x, n in ((rows, 1), (rows[::-1], 7)))
+    assert {t: k for t, k in first.items() if t != "same"} == {t: k for t, k in second.items() if t != "same"}
+    ranks = sorted(r["__rank"] for r in mx.interleave(make(rows)).collect() if r.text == "same")
+    assert ranks == list(range(ranks[0], ranks[0] + 5))
+
+
+def test_rows_without_ids_are_spread(make):
+    """A third of all rows without an id don't meet in one bin."""
+    docs = make([(None if i % 3 == 0 else i, f"text {i}", "en", "a") for i in range(3000)])
+    lost = mx.packed(docs).where("__row.doc_id is null").select("__place").distinct().count()
+    assert lost == 1000
