@@ -1,8 +1,8 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random +1/-1 vector. A trigram binds its letters' vectors, rolled by their place, by multiplication; a
-text bundles (adds) its trigrams' vectors; a language's prototype bundles its training texts. A text gets the language
-whose prototype has the largest cosine with the text's vector.
+Every letter has a random +1/-1 vector of its own, drawn from a hash of its code point. A trigram binds its letters' vectors, rolled by their
+place, by multiplication; a text bundles (adds) its trigrams' vectors; a language's prototype bundles its training texts. A text gets the
+language whose prototype has the largest cosine with the text's vector.
 """
 
 from __future__ import annotations
@@ -15,28 +15,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, held, table
 
-DIMENSIONS = 512
-#: Letter classes: a space, a to z, and classes of code points for all other letters.
-CLASSES = 192
-OTHERS = CLASSES - 27
+DIMENSIONS = 2048
+#: Vectors of trigrams and of letters that a worker remembers at most; then it starts anew.
+MOST, MOST_LETTERS = 1 << 15, 1 << 13
+
+
+def letter_vector(point: int, dimensions: int, seed: int) -> np.ndarray:
+    """+1/-1 numbers drawn for this code point alone; 0 stands for all that is no letter."""
+    return np.random.Generator(np.random.Philox(key=[seed, point])).integers(0, 2, dimensions).astype(np.int8) * 2 - 1
 
 
 class Space:
-    """Vectors of trigrams, made when first met. A trigram is a number below CLASSES ** 3."""
+    """Vectors of trigrams, made when first met. A trigram is its three code points, 21 bits each, 0 for a space."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, seed: int = 17, most: int = 1 << 16):
-        self.dimensions, self.most = dimensions, most
-        letters = np.random.default_rng(seed).integers(0, 2, (CLASSES, dimensions)).astype(np.int8) * 2 - 1
-        self.turned = [np.roll(letters, 2 - k, axis=1) for k in range(3)]
+    def __init__(self, dimensions: int = DIMENSIONS, seed: int = 17, most: int = MOST):
+        self.dimensions, self.seed, self.most = dimensions, seed, most
         points = np.arange(0x110000)
         alpha = np.fromiter((chr(c).isalpha() for c in points), bool, len(points))
-        self.letter = np.where(alpha, 27 + points % OTHERS, 0).astype(np.int64)
-        self.letter[97:123] = np.arange(1, 27)
+        self.letter = np.where(alpha, points, 0).astype(np.int64)
+        self.letters: dict[int, np.ndarray] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.place = np.full(CLASSES**3, -1, np.int32)
-        self.vectors = np.empty((0, self.dimensions), np.int8)
+        self.known, self.place, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.vectors = np.empty((256, self.dimensions), np.int8)
+
+    def turned(self, point: int) -> np.ndarray:
+        """The letter's vector, rolled for each of the three places."""
+        found = self.letters.get(point)
+        if found is None:
+            if len(self.letters) >= MOST_LETTERS:
+                self.letters.clear()
+            v = letter_vector(point, self.dimensions, self.seed)
+            found = self.letters[point] = np.stack([np.roll(v, 2 - k) for k in range(3)])
+        return found
 
     def trigrams(self, text: str) -> np.ndarray:
         """Numbers of all letter trigrams, one space wherever other characters stand and around the text; none without a letter."""
@@ -46,26 +58,37 @@ class Space:
         keep[1:] |= ids[:-1] > 0
         keep[0] = True
         ids = ids[keep]
-        return (ids[:-2] * CLASSES + ids[1:-1]) * CLASSES + ids[2:] if len(ids) > 2 else ids[:0]
-
-    def rows(self, grams: np.ndarray) -> np.ndarray:
-        found = self.place[grams]
-        if len(found) and found.min() < 0:
-            new = np.unique(grams[found < 0])
-            if len(self.vectors) + len(new) > self.most:
-                self.reset()
-                new = np.unique(grams)
-            first, second, third = new // CLASSES**2, new // CLASSES % CLASSES, new % CLASSES
-            more = self.turned[0][first] * self.turned[1][second] * self.turned[2][third]
-            self.place[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
-            self.vectors = np.concatenate([self.vectors, more])
-            found = self.place[grams]
-        return found
+        return ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:] if len(ids) > 2 else ids[:0]
+
+    def vector(self, gram: int) -> np.ndarray:
+        return self.turned(gram >> 42)[0] * self.turned(gram >> 21 & 0x1FFFFF)[1] * self.turned(gram & 0x1FFFFF)[2]
+
+    def _learn(self, new: np.ndarray) -> None:
+        if self.used + len(new) > len(self.vectors):
+            more = np.empty((max(2 * len(self.vectors), self.used + len(new)), self.dimensions), np.int8)
+            more[: self.used] = self.vectors[: self.used]
+            self.vectors = more
+        for k, g in enumerate(new.tolist(), self.used):
+            self.vectors[k] = self.vector(g)
+        known = np.concatenate([self.known, new])
+        order = np.argsort(known)
+        self.known, self.place = known[order], np.concatenate([self.place, np.arange(self.used, self.used + len(new))])[order]
+        self.used += len(new)
 
     def bundle(self, grams: np.ndarray) -> np.ndarray:
-        counts = np.bincount(self.rows(grams))
-        there = np.nonzero(counts)[0]
-        return counts[there].astype(np.float32) @ self.vectors[there].astype(np.float32)
+        """The sum of the trigrams' vectors, a bounded part of the distinct ones at a time."""
+        distinct, counts = np.unique(grams, return_counts=True)
+        total = np.zeros(self.dimensions)
+        for s in range(0, len(distinct), 1024):
+            part, n = distinct[s : s + 1024], counts[s : s + 1024].astype(np.float32)
+            new = part[~np.isin(part, self.known, assume_unique=True)]
+            if len(new):
+                if self.used + len(new) > self.most:
+                    self.reset()
+                    new = part
+                self._learn(new)
+            total += n @ self.vectors[self.place[np.searchsorted(self.known, part)]].astype(np.float32)
+        return total
 
 
 def space(dimensions: int, seed: int) -> Space:
@@ -73,7 +96,8 @@ def space(dimensions: int, seed: int) -> Space:
 
 
 def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 17) -> dict[str, np.ndarray]:
-    """Each language's unit vector from (text, lang); texts count alike whatever their length. Rows without a language or letter add nothing.
+    """Each language's unit vector from (text, lang); texts count alike whatever their length. Rows without a language or letter add nothing,
+    repeated rows count each time, further columns are ignored, an empty table teaches no language.
 
     Tasks bundle what they read into one vector for each language; these are added up in two steps. What comes to the
     driver is one vector of `dimensions` numbers for each language.
@@ -102,7 +126,8 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 17) ->
 
 def identify(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = 17, sharpness: float = 40.0) -> DataFrame:
     """doc_id, lang_pred, score of every row of (doc_id, text). `und` with score 0 if the text is null or has no letter, or if no
-    language was learned. score: the softmax share of the winner among all cosines times `sharpness`; ties go to the first name."""
+    language was learned. score: the softmax share of the winner among all cosines times `sharpness`; ties go to the first name.
+    Equal texts get equal rows, whole texts count however long they are, further columns are ignored, an empty table gives an empty result."""
     names = list(learned)
     matrix = np.array([learned[n] for n in names]).reshape(len(names), dimensions)
 

@@ -43,3 +43,52 @@ def test_odd_rows(make, odd):
     assert (30, "de") in got and (31, "en") in got
     assert li.identify(make([]), learned).count() == 0
     assert {r.lang_pred for r in li.identify(docs, li.prototypes(make([]))).collect()} == {"und"}
+
+
+def slow_bundle(text, dimensions=li.DIMENSIONS, seed=17):
+    """One trigram after the other, from each letter's own vector."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    total, n = np.zeros(dimensions), 0
+    if letters:
+        line = " " + " ".join(letters) + " "
+        for k in range(len(line) - 2):
+            v = [li.letter_vector(0 if c == " " else ord(c), dimensions, seed).astype(int) for c in line[k : k + 3]]
+            total += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+            n += 1
+    return total, n
+
+
+def test_against_brute_force(make):
+    """Predictions and scores, letter by letter, in several scripts."""
+    train = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "кошка и собака", "ru"), (4, "猫和狗在一起", "zh"), (5, "犬と猫がいる", "ja"), (6, "the end", "en")]
+    asked = [(10, "the dog"), (11, "le chien"), (12, "собака"), (13, "猫和狗在一起的"), (14, "猫がいる"), (15, "größer 12"), (16, "!!")]
+    sums = {}
+    for _, text, lang in train:
+        v, n = slow_bundle(text)
+        sums[lang] = sums.get(lang, 0) + v / n
+    names = sorted(sums)
+    protos = [sums[x] / np.linalg.norm(sums[x]) for x in names]
+    got = {r.doc_id: r for r in li.identify(make(asked), li.prototypes(make(train))).collect()}
+    for i, text in asked:
+        v, n = slow_bundle(text)
+        if not n:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosine = np.array([p @ v / np.linalg.norm(v) for p in protos])
+        best = int(np.argmax(cosine))
+        assert got[i].lang_pred == names[best]
+        assert abs(got[i].score - 1 / np.exp(40 * (cosine - cosine[best])).sum()) < 1e-6
+    assert [got[i].lang_pred for i in range(10, 15)] == ["en", "fr", "ru", "zh", "ja"]
+
+
+def test_letters_share_no_vector():
+    points = [ord(c) for c in "aeéñßжя中文字猫狗犬かな한글"] + [0, 0x4E00, 0x4E00 + 165]
+    v = np.stack([li.letter_vector(p, 2048, 17).astype(int) for p in points])
+    off = v @ v.T - 2048 * np.eye(len(points))
+    assert np.abs(off).max() < 300
+
+
+def test_long_text(make):
+    text = "the quick brown fox " * 150_000
+    learned = li.prototypes(make([(1, text, "en"), (2, "der schnelle braune fuchs", "de")]))
+    assert [r.lang_pred for r in li.identify(make([(3, text)]), learned).collect()] == ["en"]
