@@ -112,9 +112,10 @@ def links(each: DataFrame) -> DataFrame | None:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, component_id): one row for each row of docs (doc_id, text), with the least non-null doc_id of its group of near copies.
+    """(doc_id, t, root, component_id): one row for each row of docs (doc_id, text), with the least non-null doc_id of its group of near copies.
 
-    t tells texts apart by their words; texts without words are equal. An empty table gives an empty result.
+    t tells texts apart by their words; texts without words are equal. root tells groups apart, also where unlike texts share an id or have
+    none. An empty table gives an empty result; further columns are ignored; texts count whole however long they are.
     """
     each, _ = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_described, "doc_id long, t long, prints array<long>, held binary"))
     texts = each.groupBy("t").agg(F.min("doc_id").alias("least"))
@@ -123,5 +124,7 @@ def groups(docs: DataFrame) -> DataFrame:
         rooted = texts.withColumn("root", F.col("t"))
     else:
         rooted = texts.join(components(near), F.col("t") == F.col("node"), "left").select("t", "least", F.coalesce("root", "t").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.select("doc_id", "t").join(rooted.join(named, "root").select("t", "component_id"), "t")
+    # Written apart, so that the join has exchanges of its own, which adaptive execution can split at a large group.
+    rooted, _ = written(rooted)
+    named, _ = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    return each.select("doc_id", "t").join(rooted.join(named, "root").select("t", "root", "component_id"), "t")

@@ -242,26 +242,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     each, _ = written(fingerprints(docs, words))
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct, bits))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written apart, so that the join by root has exchanges of its own, which adaptive execution can split at a large group.
+    grouped, _ = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named, _ = written(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     return each.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, with all its columns: the one with
-    the least doc_id, and one row of it if its id repeats. Rows without an id stay only if no row with an id is in their group, one for
-    each text."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays, with all its columns: of the rows with the
+    least doc_id those of the least text key, and of these the least text, then the least hash of all columns. Rows without an id stay
+    only if no row with an id is in their group. Unlike texts stay, each for its own group, also if they share an id. Texts without words are
+    one group; an empty table gives an empty one; further columns pass through whatever their names; long texts count whole."""
     group, _ = written(neardup.groups(docs.select("doc_id", "text")))
-    stay = group.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
-    alone = group.where("component_id is null").select(F.col("t").alias("__t")).distinct()
+    stay = group.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("k")).select(F.col("k.t").alias("__t"), F.col("k.doc_id").alias("__id"))
 
     @F.arrow_udf("long")
     def key_of(text: pa.Array) -> pa.Array:
         return pa.array(np.array([neardup.text_key(neardup.text_words(t.as_py())) for t in text], np.uint64).view(np.int64))
 
-    nameless = docs.where("doc_id is null").withColumn("__t", key_of(F.col("text").cast("string")))
-    return kept.unionByName(nameless.join(alone, "__t", "left_semi").dropDuplicates(["__t"]).drop("__t"))
+    every = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("__own"), key_of(F.col("text").cast("string")).alias("__t"), F.xxhash64(*every).alias("__hash"))
+    kept = rows.join(stay, "__t").where(F.col("__own").eqNullSafe(F.col("__id")))
+    one = kept.groupBy("__t").agg(F.min_by("__row", F.struct(F.col("__row.text"), "__hash")).alias("__row"))
+    return one.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

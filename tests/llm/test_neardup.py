@@ -62,3 +62,21 @@ def test_unlike_texts_stay(make):
     half = [f"w{rng.randrange(5000)}" for _ in range(100)]
     rows = [(i, " ".join(half + [f"v{rng.randrange(5000)}" for _ in range(50)])) for i in range(20)]
     assert len(sh.deduplicate(make(rows)).collect()) == 20
+
+
+def test_unlike_texts_of_one_id(make):
+    """An id that stands for unlike texts loses none of them; which row of a group stays does not depend on the order of rows."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, c), (2, a.upper()), (3, b + " end"), (None, c), (None, "only here"), (None, "Only  here"), (4, None), (5, ""), (1, a)]
+    for order in (rows, rows[::-1]):
+        got = sorted(((r.doc_id is None, r.doc_id), r.text) for r in sh.deduplicate(make(order).repartition(3)).collect())
+        assert got == sorted([((False, 1), a), ((False, 1), b), ((False, 1), c), ((True, None), "Only  here"), ((False, 4), None)])
+
+
+def test_any_further_names(spark):
+    names = "__row __own __t __hash __id __keep root t k none component_id held prints".split()
+    rows = [(i, f"one two three four five {i // 2}", *(f"{n}{i}" for n in names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = sh.deduplicate(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6]
