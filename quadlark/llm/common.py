@@ -41,9 +41,11 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder every executor sees: spark.checkpoint.dir, or, on a local master alone, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
