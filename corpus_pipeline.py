@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadlark.llm.common import table, written
+from quadlark.llm.common import drop_table, table, written
 from quadlark.ship import ship
 
 
@@ -31,7 +31,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table goes once the next one is written.
+
+    Null and empty texts, repeated rows, ties, empty tables, long texts and further columns are treated as each stage's function states.
+    """
+    docs, spent = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir))
+        docs, at = written(stage(spark, docs, sf_dir))
+        if spent:
+            drop_table(spark, spent)
+        spent = at
     return docs
