@@ -156,7 +156,27 @@ def refined(faces: DataFrame, wanted: int) -> DataFrame:
     return faces.select("mesh", "f", *COORDS).groupBy("mesh").applyInPandas(split, schema)
 
 
-def grouped(submeshes: DataFrame, limit: int) -> DataFrame:
-    """Submeshes (surface, z_index, sm, size) in ranges of one group, a new one whenever the size so far passes a multiple of the limit."""
-    w = Window.partitionBy("surface", "z_index").orderBy("sm").rowsBetween(Window.unboundedPreceding, -1)
-    return submeshes.withColumn("part", F.floor(F.coalesce(F.sum("size").over(w), F.lit(0)) / limit))
+def grouped(submeshes: DataFrame, vertices: int, coordinates: int, faces: int) -> DataFrame:
+    """Each tile's submeshes in ranges to be joined: (tile, sm, part), parts counted from 0 in each tile.
+
+    submeshes: (tile, sm, textured, surface, z_index, uv_scale, vertices, tc, faces). Internally textured ones go first and stay apart; within
+    both kinds they are ordered by surface, z-index and texture scale, ties by sm. A range ends where one of the three changes, or where the
+    next submesh would take its vertices, texture coordinates or faces beyond the limits; it holds one submesh at least. One tile's
+    submeshes are few, so they are folded in one row, whatever the number of tiles.
+    """
+    limits = {"vertices": vertices, "tc": coordinates, "faces": faces}
+    key = F.struct(~F.col("textured"), "surface", "z_index", "uv_scale")
+    one = F.struct(key.alias("key"), "sm", *(F.col(c).cast("long").alias(c) for c in limits))
+    tiles = submeshes.groupBy("tile").agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def step(s, x):
+        begins = s["key"].isNull() | ~s["key"].eqNullSafe(x["key"])
+        for c, most in limits.items():
+            begins = begins | (s[c] + x[c] > most)
+        part = s["part"] + F.when(begins, 1).otherwise(0)
+        sums = [F.when(begins, x[c]).otherwise(s[c] + x[c]).alias(c) for c in limits]
+        return F.struct(x["key"].alias("key"), part.alias("part"), *sums, F.concat(s["out"], F.array(F.struct(x["sm"].alias("sm"), part.alias("part")))).alias("out"))
+
+    kinds = {f.name: f.dataType.simpleString() for f in tiles.schema["all"].dataType.elementType.fields}
+    start = F.struct(F.lit(None).cast(kinds["key"]).alias("key"), F.lit(-1).alias("part"), *(F.lit(0).cast("long").alias(c) for c in limits), F.array().cast(f"array<struct<sm:{kinds['sm']},part:int>>").alias("out"))
+    return tiles.select("tile", F.explode(F.aggregate("all", start, step)["out"]).alias("r")).select("tile", "r.sm", "r.part")

@@ -77,3 +77,31 @@ def inconsistencies(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def credit_tiles(nodes: DataFrame, order: int = 8) -> DataFrame:
     return nodes.groupBy("lod", shr("x", order).alias("cx"), shr("y", order).alias("cy")).agg(F.array_sort(F.collect_set("credit")).alias("credits"))
+
+
+def sanity(tiles: DataFrame, submeshes: DataFrame) -> DataFrame:
+    """Tiles that may not be written, and the first reason why.
+
+    tiles: (lod, x, y, textures, external): how many textures the atlas has, null without an atlas, and whether the frame's node allows external
+    textures. submeshes: (lod, x, y, i, tc, etc, mode): internal and external texture coordinates and the texture mode; a tile without
+    submeshes has no mesh. The first `textures` submeshes are internally textured, the others externally.
+    """
+    met = tiles.join(submeshes, KEY, "left")
+    textured = F.col("i") < F.coalesce("textures", F.lit(0))
+    inside = F.when(F.col("tc") == 0, "internal texture without coordinates").when((F.col("mode") == "external") & (F.col("etc") == 0), "external mode without external coordinates")
+    outside = F.when(F.col("etc") == 0, "no external coordinates").when(F.col("mode") == "internal", "internal mode without texture").when(F.col("tc") > 0, "internal coordinates without texture").when(~F.col("external"), "external texture not allowed")
+    one = F.when(F.col("i").isNotNull(), F.when(textured, inside).otherwise(outside))
+    g = met.groupBy(*KEY, "textures").agg(F.count("i").alias("n"), F.min_by(one, F.when(one.isNotNull(), F.col("i"))).alias("why"))
+    whole = F.when((F.col("n") == 0) & F.col("textures").isNotNull(), "atlas without mesh").when((F.col("n") > 0) & (F.col("textures") == 0), "empty atlas").when((F.col("n") > 0) & (F.col("textures") > F.col("n")), "more textures than submeshes")
+    return g.select(*KEY, F.coalesce(whole, "why").alias("problem")).where("problem is not null")
+
+
+def extra_flags(masks: DataFrame, submeshes: DataFrame, pixels: int) -> DataFrame:
+    """Flags that a tile's mesh adds: watertight if its coverage mask has all its pixels, multimesh with more than one submesh.
+
+    masks: the covered pixels (lod, x, y, px, py), once each; submeshes: (lod, x, y, ...), a row for each.
+    """
+    full = masks.groupBy(*KEY).agg(F.count("*").alias("covered"))
+    many = submeshes.groupBy(*KEY).agg(F.count("*").alias("n"))
+    extra = F.when(F.col("covered") == pixels, fl.WATERTIGHT).otherwise(0) + F.when(F.col("n") > 1, fl.MULTIMESH).otherwise(0)
+    return many.join(full, KEY, "left").select(*KEY, extra.cast("int").alias("extra"))

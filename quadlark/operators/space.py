@@ -99,3 +99,52 @@ def sanitized_frame(frame: DataFrame, parts: DataFrame) -> DataFrame:
 def root_levels(frame: DataFrame) -> DataFrame:
     """The level range of the real nodes."""
     return frame.where(F.col("mode").isin("manual", "bisection")).agg(F.min("lod").alias("low"), F.max("lod").alias("high"))
+
+
+def checked_masks(nodes: DataFrame, valid: DataFrame, masks: DataFrame) -> DataFrame:
+    """How much of each node's valid area a coverage mask covers: whole, some or none.
+
+    nodes: (lod, x, y, partial, size), size pixels wide and high; masks: the covered pixels (lod, x, y, px, py), once each; valid: the valid
+    pixels of nodes that are valid in part only. An empty mask covers none. A whole node is covered by a full mask; of a partial one
+    the mask is taken away from the valid pixels, and what is left decides.
+    """
+    pixel = [*KEY, "px", "py"]
+    full = masks.groupBy(*KEY).agg(F.count("*").alias("covered"))
+    left = valid.join(masks.select(*pixel, F.lit(1).alias("hit")), pixel, "left").groupBy(*KEY).agg(F.count("*").alias("total"), F.count("hit").alias("hits"))
+    met = nodes.join(full, KEY, "left").join(left, KEY, "left").fillna(0, ["covered", "total", "hits"])
+    whole = F.when(F.col("covered") == F.col("size") * F.col("size"), "whole").otherwise("some")
+    part = F.when(F.col("hits") == F.col("total"), "whole").when(F.col("hits") == 0, "none").otherwise("some")
+    return met.select(*KEY, F.when(F.col("covered") == 0, "none").when(~F.col("partial"), whole).otherwise(part).alias("cover"))
+
+
+def _to_tile(x: Column, outwards: bool) -> Column:
+    """A place in tiles as a tile number: very nearly whole numbers are whole, others go down, or up for the far end; below zero the other way."""
+    near = F.when(F.abs(x - F.round(x)) <= 1e-15, F.round(x)).otherwise(x)
+    down, up = F.floor(near), F.ceil(near)
+    return F.when(near < 0, down if outwards else up).otherwise(up if outwards else down).cast("bigint")
+
+
+def found_subtrees(frame: DataFrame, samples: DataFrame, lod: int) -> DataFrame:
+    """Which tiles of a level a dataset covers, by samples (px, py) of its extents in the nodes' own coordinates.
+
+    (node_lod, node_x, node_y, x0, y0, x1, y1): the tile range under each real node that has samples in its valid area, and that is still the
+    subtree of its first tile of that level; a row with null nodes holds the overall range. The frame, a registry, is broadcast.
+    """
+    d = F.lit(lod) - F.col("node_lod")
+    nodes = frame.where(F.col("mode").isin("manual", "bisection") & (F.col("lod") <= lod)).select(*(F.col(c).alias(f"node_{c}") for c in KEY), *BOX, *(f"c_{c}" for c in BOX))
+    corners = nodes.select("node_lod", "node_x", "node_y", F.lit(lod).alias("lod"), shl("node_x", d).alias("x"), shl("node_y", d).alias("y"))
+    own = subtree_roots(corners, frame).where("root_lod = node_lod and root_x = node_x and root_y = node_y").select("node_lod", "node_x", "node_y")
+    nodes = F.broadcast(nodes.join(own, ["node_lod", "node_x", "node_y"]))
+    x, y = F.col("px"), F.col("py")
+    fine = F.col("c_llx").isNull() | x.between(F.col("c_llx"), F.col("c_urx")) & y.between(F.col("c_lly"), F.col("c_ury"))
+    met = samples.join(nodes, x.between(F.col("llx"), F.col("urx")) & y.between(F.col("lly"), F.col("ury")) & fine)
+    e = met.groupBy("node_lod", "node_x", "node_y", *BOX).agg(F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"))
+    n = F.pow(F.lit(2.0), d)
+    width, height = (F.col("urx") - F.col("llx")) / n, (F.col("ury") - F.col("lly")) / n
+    near = [_to_tile((F.col("x0") - F.col("llx")) / width, False), _to_tile((F.col("ury") - F.col("y1")) / height, False)]
+    far = [_to_tile((F.col("x1") - F.col("llx")) / width, True), _to_tile((F.col("ury") - F.col("y0")) / height, True)]
+    first = [shl("node_x", d), shl("node_y", d)] * 2
+    ranges = e.select("node_lod", "node_x", "node_y", *((a + b).alias(c) for a, b, c in zip(first, near + far, ("x0", "y0", "x1", "y1"))))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("node_lod", "int"), ("node_x", "bigint"), ("node_y", "bigint"))]
+    whole = ranges.groupBy().agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).where("x0 is not null")
+    return ranges.unionByName(whole.select(*none, "x0", "y0", "x1", "y1"))

@@ -158,3 +158,11 @@ def pending_glues(glues: DataFrame, unique: DataFrame) -> DataFrame:
 def normalized_id(stack: DataFrame, ids: DataFrame) -> DataFrame:
     """Ids (name, member) as arrays in stack order, once each."""
     return ids.join(stack, "member").groupBy("name").agg(F.array_sort(F.collect_set(F.struct("pos", "member"))).alias("m")).select("name", F.transform("m", lambda s: s["member"]).alias("id"))
+
+
+def ancestry(links: DataFrame) -> DataFrame:
+    """(id, parent, depth) over links (id, parent): each body's parent, its parent's parent and so on; a null parent ends the chain."""
+    text = """with recursive up(id, parent, depth) as (select id, parent, 0 from {links} where parent is not null
+      union all select up.id, l.parent, up.depth + 1 from up join {links} l on l.id = up.parent where l.parent is not null)
+    select id, parent, depth from up"""
+    return links.sparkSession.sql(text, links=links)

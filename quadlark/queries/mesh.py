@@ -136,10 +136,20 @@ def add_skirt(spark, d):
     return me.skirt(coarse(spark, d), 2.0).groupBy("mesh").agg(F.count("*").alias("faces"))
 
 
-@query("group_submeshes", f"select surface, mesh as sm, cast(floor(coalesce(sum(size) over (partition by surface, z_index order by mesh rows between unbounded preceding and 1 preceding), 0) / 35.0) as bigint) as part from (select mesh, surface, mesh % 2 as z_index, count(*) as size from {_E} e group by mesh, surface) t")
+_SM = "(select vec_id & 15 as tile, vec_id as sm, label + 1 as surface, cast(vec_id % 2 as int) as z_index, cast(vec_id % 3 as double) as uv_scale, vec_id % 4 <> 0 as textured, 10 + vec_id % 7 as vertices, 3 * (vec_id % 5) as tc, 5 + vec_id % 11 as faces from embeddings)"
+_BEGINS = "s.surface <> u.surface or s.z_index <> u.z_index or s.uv_scale <> u.uv_scale or s.textured <> u.textured or u.v + s.vertices > 40 or u.t + s.tc > 20 or u.n + s.faces > 25"
+
+
+@query(
+    "group_submeshes",
+    f"""with recursive s as (select *, row_number() over (partition by tile order by textured desc, surface, z_index, uv_scale, sm) as k from {_SM} q),
+    up as (select tile, sm, k, surface, z_index, uv_scale, textured, vertices as v, tc as t, faces as n, 0 as part from s where k = 1 union all
+      select s.tile, s.sm, s.k, s.surface, s.z_index, s.uv_scale, s.textured, case when {_BEGINS} then s.vertices else u.v + s.vertices end, case when {_BEGINS} then s.tc else u.t + s.tc end,
+        case when {_BEGINS} then s.faces else u.n + s.faces end, u.part + case when {_BEGINS} then 1 else 0 end from up u join s on s.tile = u.tile and s.k = u.k + 1)
+    select tile, sm, cast(part as int) as part from up""",
+)
 def group_submeshes(spark, d):
-    s = faces(spark, d).groupBy("mesh", "surface").agg(F.count("*").alias("size")).select(F.col("mesh").alias("sm"), "surface", (F.col("mesh") % 2).alias("z_index"), "size")
-    return me.grouped(s, 35).select("surface", "sm", "part")
+    return me.grouped(fx.sql(spark, d, f"select * from {_SM} s"), 40, 20, 25)
 
 
 SIZE = 16
@@ -189,7 +199,33 @@ def simple_clip(spark, d):
     return faces(spark, d).join(covered(spark, d).where("hits > 0").select("mesh", "f"), ["mesh", "f"], "left_semi").select("mesh", "f", "surface")
 
 
-@query("derive_subtile")
+def _clip_sql(source: str, axis: str, above: bool) -> str:
+    """The faces of `source` cut by a plane through 0, as the union of the cases by how many corners are inside."""
+    d = [f"({'' if above else '-'}{axis}{i})" for i in range(3)]
+    n = " + ".join(f"(case when {x} >= 0 then 1 else 0 end)" for x in d)
+
+    def corner(i):
+        return [f"{a}{i}" for a in "xyz"]
+
+    def cross(i, j):
+        return [f"{a}{i} + ({a}{j} - {a}{i}) * ({d[i]} / ({d[i]} - {d[j]}))" for a in "xyz"]
+
+    def rows(test, *points):
+        names = [f"{a}{i}" for i in range(3) for a in "xyz"]
+        return f"select mesh, {', '.join(f'{v} as {c}' for v, c in zip([v for p in points for v in p], names))} from ({source}) z where {test}"
+
+    out = [rows(f"{n} = 3", *(corner(i) for i in range(3)))]
+    for i in range(3):
+        j, k = (i + 1) % 3, (i + 2) % 3
+        out += [rows(f"{n} = 1 and {d[i]} >= 0", corner(i), cross(i, j), cross(i, k))]
+        out += [rows(f"{n} = 2 and {d[i]} < 0", *p) for p in ((corner(j), corner(k), cross(k, i)), (corner(j), cross(k, i), cross(j, i)))]
+    return " union all ".join(out)
+
+
+_CHILD = [_clip_sql(_clip_sql(f"select * from {_E} e", "x", bool(i & 1)), "y", not i & 2) for i in range(4)]
+
+
+@query("derive_subtile", " union all ".join(f"select mesh, cast(count(*) as bigint) as faces, round(sum({_AREA}), 6) as area, cast({i} as int) as child from ({c}) q group by mesh" for i, c in enumerate(_CHILD)))
 def derive_subtile(spark, d):
     """Each mesh cut into its four children, with faces and area; the areas add up to the whole."""
     out = None

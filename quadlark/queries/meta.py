@@ -109,13 +109,15 @@ def texel_saturate(spark, d):
     return nodes(spark, d).select(*KEY, F.least(F.col("texel") * 20000, F.lit(65000.0)).alias("texel"), F.least(F.col("x") * 3, F.lit(255).cast("bigint")).alias("textures"))
 
 
-@query("tile_sanity", f"select lod, x, y, case when flags & 4 <> 0 and flags & 1 = 0 then 'atlas without mesh' when flags & 2 <> 0 and flags & 4 = 0 then 'mesh without atlas' when zmin > zmax then 'empty height range' end as problem from {_F} f where (flags & 4 <> 0 and flags & 1 = 0) or (flags & 2 <> 0 and flags & 4 = 0) or zmin > zmax")
+_TILES = f"(select lod, x, y, case when flags & 4 <> 0 then cast(x % 4 as int) end as textures, y % 2 = 0 as external from {_F} f)"
+_SUBS = f"(select lod, x, y, i, cast((x + i) % 3 as int) as tc, cast((y + i) % 4 as int) as etc, case when (x + y + i) % 2 = 0 then 'internal' else 'external' end as mode from {_F} f, (values (0), (1), (2)) s(i) where (x + y) % 7 <> 0 and i <= (x + 2 * y) % 3)"
+_WHY = "case when i < coalesce(textures, 0) then case when tc = 0 then 'internal texture without coordinates' when mode = 'external' and etc = 0 then 'external mode without external coordinates' end else case when etc = 0 then 'no external coordinates' when mode = 'internal' then 'internal mode without texture' when tc > 0 then 'internal coordinates without texture' when not external then 'external texture not allowed' end end"
+
+
+@query("tile_sanity", f"select * from (select t.lod, t.x, t.y, case when n is null and textures is not null then 'atlas without mesh' when n > 0 and textures = 0 then 'empty atlas' when n > 0 and textures > n then 'more textures than submeshes' else why end as problem from {_TILES} t left join (select s.lod, s.x, s.y, count(*) as n, arg_min(why, i) filter (why is not null) as why from (select u.*, {_WHY} as why from {_SUBS} u join {_TILES} v using (lod, x, y)) s group by all) g using (lod, x, y)) z where problem is not null")
 def tile_sanity(spark, d):
     """Tiles that may not be written, and why."""
-    f = col("flags")
-    why = F.when(fl.has(f, 4) & ~fl.has(f, 1), "atlas without mesh").when(fl.has(f, 2) & ~fl.has(f, 4), "mesh without atlas").when(F.col("zmin") > F.col("zmax"), "empty height range")
-    return nodes(spark, d).select(*KEY, why.alias("problem")).where("problem is not null")
-
+    return mt.sanity(fx.sql(spark, d, f"select * from {_TILES} t"), fx.sql(spark, d, f"select * from {_SUBS} s"))
 
 @query("mark_influenced", f"select lod, x, y, cast(case when b.flags is not null and coalesce(a.flags, 0) & 1 = 0 then 32 else a.flags end as bigint) as flags from {_A} a full join (select * from {_B} q where lod = 7) b using (lod, x, y)")
 def mark_influenced(spark, d):
@@ -161,13 +163,13 @@ def tile_info(spark, d):
     return n.join(meta, ["lod", "meta_x", "meta_y"]).select(*KEY, "flags", "texel", "meta_x", "meta_y", (100.0 * (F.col("zmax") - F.col("zmin")) / (F.col("zmax") + 1)).alias("spread"))
 
 
-@query("extra_flags", f"select lod, x >> 2 as x, y >> 2 as y, cast(case when count(*) = 16 then 2 else 0 end + case when count(distinct flags) > 1 then 64 else 0 end as int) as extra, string_agg(distinct cast(credit as varchar), ',' order by cast(credit as varchar)) as credits from {_F} f group by 1, 2, 3")
+@query("extra_flags", f"select lod, x >> 2 as x, y >> 2 as y, cast(case when count(*) = 16 then 2 else 0 end + case when count(distinct credit) > 1 then 64 else 0 end as int) as extra, string_agg(distinct cast(credit as varchar), ',' order by cast(credit as varchar)) as credits from {_F} f group by 1, 2, 3")
 def extra_flags(spark, d):
-    """Blocks of sixteen tiles as one: watertight if whole, multimesh if their flags differ, credits united."""
-    g = nodes(spark, d).groupBy("lod", shr("x", 2).alias("x"), shr("y", 2).alias("y"))
-    whole, many = F.when(F.count("*") == 16, fl.WATERTIGHT).otherwise(0), F.when(F.countDistinct("flags") > 1, fl.MULTIMESH).otherwise(0)
-    return g.agg((whole + many).cast("int").alias("extra"), F.array_join(F.array_sort(F.collect_set("credit")), ",").alias("credits"))
-
+    """Blocks of sixteen cells as tiles: the cells there are as the mask, a submesh for each credit, and the credits united."""
+    cells = nodes(spark, d).select("lod", shr("x", 2).alias("x"), shr("y", 2).alias("y"), F.col("x").bitwiseAND(3).alias("px"), F.col("y").bitwiseAND(3).alias("py"), "credit")
+    subs = cells.select(*KEY, "credit").distinct()
+    united = subs.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_set("credit")), ",").alias("credits"))
+    return mt.extra_flags(cells.drop("credit"), subs, 16).join(united, KEY)
 
 _EV = "(select event_id, cast(5 as int) as lod, user_id & 31 as x, event_id & 31 as y, cast(1 as bigint) << cast(event_id % 4 as int) as flags from events)"
 

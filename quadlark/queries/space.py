@@ -8,7 +8,7 @@ from .. import fixtures as fx
 from ..functions import coords as cd
 from ..operators import space as sp
 from . import query
-from .index import _A, KEY, UP, a
+from .index import _A, _B, KEY, UP, a, b
 
 _G = f"({fx.G})"
 _H = f"({fx.H})"
@@ -115,13 +115,15 @@ def reproject(spark, d):
     return m.groupBy("to_lod", "to_x", "to_y").agg(F.count("*").alias("sources"), F.bit_or("flags").alias("flags"))
 
 
-@query("find_subtrees", f"select g.srs, cast(count(*) as bigint) as samples, min(p.px) as x0, min(p.py) as y0, max(p.px) as x1, max(p.py) as y1 from {_H} p join {_G} g on g.mode = 'bisection' and p.px >= g.c_llx and p.px <= g.c_urx and p.py >= g.c_lly and p.py <= g.c_ury group by g.srs")
-def find_subtrees(spark, d):
-    """Samples of a dataset against the frame's few nodes: a broadcast of the registry, then min and max."""
-    g = F.broadcast(frame(spark, d).where("mode = 'bisection'"))
-    met = fx.sql(spark, d, fx.H).join(g, F.col("px").between(F.col("c_llx"), F.col("c_urx")) & F.col("py").between(F.col("c_lly"), F.col("c_ury")))
-    return met.groupBy("srs").agg(F.count("*").alias("samples"), F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"))
+_REAL = f"(select * from {_G} g where mode in ('manual', 'bisection') and lod <= 6 and not exists (select 1 from {_G} c where c.mode in ('manual', 'bisection') and c.lod > g.lod and c.lod <= 6 and c.x = (g.x << (6 - g.lod)) >> (6 - c.lod) and c.y = (g.y << (6 - g.lod)) >> (6 - c.lod)))"
+_SPAN = f"(select g.lod, g.x, g.y, llx, ury, (urx - llx) / (1 << (6 - g.lod)) as w, (ury - lly) / (1 << (6 - g.lod)) as h, min(px) as x0, min(py) as y0, max(px) as x1, max(py) as y1 from {_H} p join {_REAL} g on px between llx and urx and py between lly and ury and (c_llx is null or px between c_llx and c_urx and py between c_lly and c_ury) group by all)"
+_RANGE = f"(select lod as node_lod, x as node_x, y as node_y, (x << (6 - lod)) + cast(floor((x0 - llx) / w) as bigint) as x0, (y << (6 - lod)) + cast(floor((ury - y1) / h) as bigint) as y0, (x << (6 - lod)) + cast(ceil((x1 - llx) / w) as bigint) as x1, (y << (6 - lod)) + cast(ceil((ury - y0) / h) as bigint) as y1 from {_SPAN} s)"
+
 
+@query("find_subtrees", f"select * from {_RANGE} r union all select null, null, null, min(x0), min(y0), max(x1), max(y1) from {_RANGE} q")
+def find_subtrees(spark, d):
+    """Samples of a dataset against the frame's few nodes: the tiles of level 6 under each, and overall."""
+    return sp.found_subtrees(frame(spark, d), fx.sql(spark, d, fx.H), 6)
 
 @query("srs_convert", f"select id, px + 180 as bx, py as by_, round(radians(px) * 6378137, 3) as mx, round(ln(tan(pi() / 4 + radians(py) / 2)) * 6378137, 3) as my, round(px, 6) as back from {_H} h where py between -85 and 85")
 def srs_convert(spark, d):
@@ -153,8 +155,20 @@ def generate_etc(spark, d):
     return fx.sql(spark, d, fx.H).select("id", F.round(u, 9).alias("u"), F.round(v, 9).alias("v"))
 
 
-@query("check_mask", f"select lod, x >> 2 as x, y >> 2 as y, case when count(*) = 16 then 'whole' when count(*) > 4 then 'some' else 'none' end as cover from {_A} a group by 1, 2, 3")
+_BLOCKS = f"(select lod, x >> 2 as x, y >> 2 as y from {_A} p union select lod, x >> 2, y >> 2 from {_B} q)"
+_PIXELS = f"(select lod, x >> 2 as x, y >> 2 as y, x & 3 as px, y & 3 as py from {_A} p)"
+_PART = f"(select n.*, px, py from {_BLOCKS} n, (select unnest(range(4)) as px) i, (select unnest(range(4)) as py) j where (x + y) & 1 = 1 and px + py <= 3)"
+_COVERED = f"(select lod, x, y, count(*) as covered from {_PIXELS} m group by all)"
+_LEFT = f"(select v.lod, v.x, v.y, count(*) as total, count(m.covered) as hits from {_PART} v left join (select *, 1 as covered from {_PIXELS} k) m using (lod, x, y, px, py) group by all)"
+
+
+@query("check_mask", f"select n.lod, n.x, n.y, case when covered is null then 'none' when (n.x + n.y) & 1 = 0 then case when covered = 16 then 'whole' else 'some' end when hits = total then 'whole' when hits = 0 then 'none' else 'some' end as cover from {_BLOCKS} n left join {_COVERED} c using (lod, x, y) left join {_LEFT} h using (lod, x, y)")
 def check_mask(spark, d):
-    """How much of each block of sixteen cells a set covers: whole, some, or next to none."""
-    g = a(spark, d).groupBy("lod", F.shiftright("x", 2).alias("x"), F.shiftright("y", 2).alias("y")).agg(F.count("*").alias("n"))
-    return g.select(*KEY, F.when(F.col("n") == 16, "whole").when(F.col("n") > 4, "some").otherwise("none").alias("cover"))
+    """Blocks of sixteen cells as nodes, every other one valid in its upper left half only, against the cells that a set has."""
+    block = [F.col("lod"), F.shiftright("x", 2).alias("x"), F.shiftright("y", 2).alias("y")]
+    partial = (F.col("x") + F.col("y")).bitwiseAND(1) == 1
+    n = a(spark, d).select(*block).unionByName(b(spark, d).select(*block)).distinct().select(*KEY, partial.alias("partial"), F.lit(4).alias("size"))
+    i = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
+    valid = n.where("partial").select(*KEY, F.explode(i).alias("px")).select("*", F.explode(i).alias("py")).where("px + py <= 3")
+    masks = a(spark, d).select(*block, F.col("x").bitwiseAND(3).alias("px"), F.col("y").bitwiseAND(3).alias("py"))
+    return sp.checked_masks(n, valid, masks)

@@ -256,7 +256,10 @@ def mapconfig_merge(spark, d):
     return c.groupBy("grp").agg(surfaces.alias("surfaces"), F.min_by("view", "prio").alias("view"), F.max_by("position", "prio").alias("position"), F.bool_and("atlas").alias("atlas"))
 
 
-@query("mapconfig_json")
+_SURFACE = """'{"id":"' || tileset || '","lodRange":[' || lo || ',' || hi || '],"tileRange":[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y1 || ']],"meshUrl":"./' || tileset || '/{lod}-{x}-{y}.bin?0","metaUrl":"./' || tileset || '/{lod}-{x}-{y}.meta?0","textureUrl":"./' || tileset || '/{lod}-{x}-{y}.jpg?0"}'"""
+
+
+@query("mapconfig_json", f"select tag, '{{\"version\":1,\"surfaces\":[' || string_agg({_SURFACE}, ',' order by tileset) || ']}}' as json from (select tag, tileset, min(lod) as lo, max(lod) as hi, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from {_C} c group by all) t group by tag")
 def mapconfig_json(spark, d):
     """A client configuration for each tag: surfaces with URLs from root and template, and the level range."""
     t = layers(spark, d).groupBy("tag", "tileset").agg(F.min("lod").alias("lo"), F.max("lod").alias("hi"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
@@ -266,8 +269,10 @@ def mapconfig_json(spark, d):
     return doc.select("tag", F.to_json(F.struct(F.lit(1).alias("version"), "surfaces")).alias("json"))
 
 
-@query("body_parents", "with recursive up(id, parent, depth) as (select n_nationkey, n_nationkey // 2, 0 from nation union all select u.id, u.parent // 2, u.depth + 1 from up u where u.parent > 0) select id, parent, cast(depth as int) as depth from up")
+_LINKS = "(select n_nationkey as id, case when n_nationkey > 0 then n_nationkey - 1 - n_regionkey end as parent from nation)"
+
+
+@query("body_parents", f"with recursive l as (select * from {_LINKS} n), up as (select id, parent, 0 as depth from l where parent is not null union all select up.id, l.parent, up.depth + 1 from up join l on l.id = up.parent where l.parent is not null) select cast(id as int) as id, cast(parent as int) as parent, cast(depth as int) as depth from up")
 def body_parents(spark, d):
     """Each body with its ancestors: a recursive query over the parent links."""
-    spark.read.parquet(f"{d}/nation.parquet").createOrReplaceTempView("body_rows")
-    return spark.sql("with recursive up(id, parent, depth) as (select n_nationkey, n_nationkey div 2, 0 from body_rows union all select id, cast(parent div 2 as bigint), depth + 1 from up where parent > 0) select cast(id as int) as id, cast(parent as int) as parent, depth from up")
+    return st.ancestry(fx.sql(spark, d, f"select * from {_LINKS} l")).select(F.col("id").cast("int"), F.col("parent").cast("int"), "depth")

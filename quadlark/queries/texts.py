@@ -71,7 +71,10 @@ def url_switch(spark, d):
     return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", url.alias("url"))
 
 
-@query("archive_dir")
+_CRC = "list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(name, ''), lambda c: cast(ascii(c) as bigint))), lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda s, k: case when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end))"
+
+
+@query("archive_dir", f"select name, lpad(lower(to_hex(xor({_CRC}, 4294967295) >> 24)), 2, '0') as dir from (select distinct lod || '-' || (x >> 5) || '-' || (y >> 5) as name from {_A} a) t")
 def archive_dir(spark, d):
     name = F.concat_ws("-", "lod", t.shr("x", 5).cast("string"), t.shr("y", 5).cast("string"))
     return a(spark, d).select(name.alias("name")).distinct().withColumn("dir", tx.archive_dir(F.col("name")))
