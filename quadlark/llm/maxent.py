@@ -3,7 +3,8 @@
 A token's probability factors into its class given the context and the token given class and context. The commonest
 training words form classes of SLOTS words by falling count; all other words fall into surface classes by a hash of their first
 bytes, and have there the add-one chance of their count, so unknown words are covered. Contexts are features: the word before,
-skip features (the words two, three and four before), and the hashed pair of the two words before. Weights start from the
+skip features (the words two, three and four before), and a hashed n-gram: the very word before, if it has no class of its own, else the
+two words before. The hashed rows grow with the square root of the training tokens, as vocabularies do. Weights start from the
 counts and move by distributed gradient updates: in each round every task runs mini-batches over its part of the corpus
 from the same weights, and the tasks' changes are averaged. Texts are scored in sparse numpy batches.
 
@@ -19,14 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, table, written
 
-#: Tokens of a piece; words with classes of their own; words of such a class; surface classes; rows for hashed pairs.
-PIECE, COMMON, SLOTS, SURFACE, HASHED = 1_000_000, 512, 32, 32, 1 << 13
+#: Tokens of a piece; words with classes of their own; words of such a class; surface classes; the least number of rows for hashed n-grams.
+PIECE, COMMON, SLOTS, SURFACE, HASHED = 1_000_000, 512, 32, 32, 1 << 12
 #: The share of positions a round uses is 1 / THIN (other positions each round), rounds so that each position is used, tokens of a mini-batch, step.
 THIN, BATCH, STEP = 4, 8192, 0.15
 ROUNDS = THIN
@@ -37,6 +39,16 @@ END = b""
 PIECES = "piece long, ids binary, lens binary, held binary, tokens binary, words binary, train binary"
 
 
+def hashed_rows(tokens: int) -> int:
+    """Rows for hashed n-grams: a power of two, about two to four times the square root of the training tokens."""
+    return max(HASHED, 1 << int(2 * tokens**0.5).bit_length())
+
+
+def word_marks(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, which tells all words apart, common or not."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def surface(word: bytes) -> int:
     return zlib.crc32(word[:2]) % SURFACE
 
@@ -94,7 +106,7 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """Fixed size: the common words, surface classes' totals, and weights."""
+    """The common words, surface classes' totals, and weights; its size goes with the number of hashed rows."""
 
     place: dict[bytes, int]
     rare_total: np.ndarray  # tokens + distinct words + 1 of each surface class
@@ -106,7 +118,7 @@ class Model:
     slot_power: np.ndarray
 
     @classmethod
-    def start(cls, common: list[tuple[bytes, int]], rare: dict[int, tuple[int, int]]) -> Model:
+    def start(cls, common: list[tuple[bytes, int]], rare: dict[int, tuple[int, int]], hashed: int = HASHED) -> Model:
         tokens = np.array([rare.get(c, (0, 0))[0] for c in range(SURFACE)], float)
         kinds = np.array([rare.get(c, (0, 0))[1] for c in range(SURFACE)], float)
         n = np.array([x for _, x in common] + [0] * (COMMON - len(common)), float).reshape(FREQUENT, SLOTS)
@@ -114,7 +126,7 @@ class Model:
         with np.errstate(divide="ignore"):
             slot_bias = np.log(n / np.maximum(1, n.sum(axis=1, keepdims=True)))
         bias[:FREQUENT][n.sum(axis=1) == 0] = -np.inf
-        rows = SKIPS * CONTEXT + HASHED, CONTEXT * FREQUENT + HASHED
+        rows = SKIPS * CONTEXT + hashed, CONTEXT * FREQUENT + hashed
         return cls({w: i for i, (w, _) in enumerate(common)}, tokens + kinds + 1, bias.astype(np.float32), slot_bias.astype(np.float32), np.zeros((rows[0], CLASSES), np.float32), np.zeros((rows[1], SLOTS), np.float32), np.full(rows[0], 1e-2, np.float32), np.full(rows[1], 1e-2, np.float32))
 
     def codes(self, words: list[bytes]) -> np.ndarray:
@@ -133,14 +145,29 @@ def contexts(codes: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray
     return out
 
 
-def class_rows(c: np.ndarray) -> np.ndarray:
-    pair = (c[0] * 2654435761 + c[1] * 40503 + 977) % 2305843009213693951 % HASHED
-    return np.concatenate([c + np.arange(SKIPS)[:, None] * CONTEXT, pair[None] + SKIPS * CONTEXT])
+def ngrams(codes: np.ndarray, marks: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashed n-gram before each token at `at`: the word before, if it is no common one, else the two words before; 0 stands before
+    the text's start."""
+    first = begin[at]
+    one = np.where(at - 1 >= first, marks[at - 1], np.uint64(0))
+    two = np.where(at - 2 >= first, marks[at - 2], np.uint64(0))
+    alone = (at - 1 >= first) & (codes[at - 1] >= COMMON)
+    return one * np.uint64(0x9E3779B97F4A7C15) + np.where(alone, np.uint64(1), two * np.uint64(0xC2B2AE3D27D4EB4F))
+
 
+def hashed_row(key: np.ndarray, hashed: int) -> np.ndarray:
+    mixed = (key ^ key >> np.uint64(31)) * np.uint64(0x165667B19E3779F9)
+    return (mixed >> np.uint64(65 - hashed.bit_length())).astype(np.int64)
 
-def slot_rows(c: np.ndarray, group: np.ndarray) -> np.ndarray:
-    pair = ((c[0] * 2654435761 + c[1] * 40503) * 131 + group) % 2305843009213693951 % HASHED
-    return np.stack([c[0] * FREQUENT + group, pair + CONTEXT * FREQUENT])
+
+def class_rows(m: Model, c: np.ndarray, key: np.ndarray) -> np.ndarray:
+    hashed = len(m.of_class) - SKIPS * CONTEXT
+    return np.concatenate([c + np.arange(SKIPS)[:, None] * CONTEXT, hashed_row(key, hashed)[None] + SKIPS * CONTEXT])
+
+
+def slot_rows(m: Model, c: np.ndarray, key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    hashed = len(m.of_slot) - CONTEXT * FREQUENT
+    return np.stack([c[0] * FREQUENT + group, hashed_row(key + (group + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), hashed) + CONTEXT * FREQUENT])
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -161,15 +188,16 @@ def class_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < COMMON, codes // SLOTS, codes - COMMON + FREQUENT)
 
 
-def log_chances(m: Model, codes: np.ndarray, begin: np.ndarray, rare_part: np.ndarray) -> np.ndarray:
+def log_chances(m: Model, codes: np.ndarray, marks: np.ndarray, begin: np.ndarray, rare_part: np.ndarray) -> np.ndarray:
     """Natural log probability of each token; rare_part: that of a rare word within its surface class."""
     out = np.empty(len(codes))
     for s in range(0, len(codes), BATCH):
-        c, g = contexts(codes, begin, np.arange(s, min(s + BATCH, len(codes)))), class_of(codes[s : s + BATCH])
-        p = softmax(summed(m.of_class, class_rows(c), m.bias))
+        at = np.arange(s, min(s + BATCH, len(codes)))
+        c, key, g = contexts(codes, begin, at), ngrams(codes, marks, begin, at), class_of(codes[s : s + BATCH])
+        p = softmax(summed(m.of_class, class_rows(m, c, key), m.bias))
         out[s : s + BATCH] = np.log(np.maximum(1e-30, p[np.arange(len(g)), g]))
         often = np.nonzero(g < FREQUENT)[0]
-        p = softmax(summed(m.of_slot, slot_rows(c[:, often], g[often]), m.slot_bias[g[often]]))
+        p = softmax(summed(m.of_slot, slot_rows(m, c[:, often], key[often], g[often]), m.slot_bias[g[often]]))
         out[s + often] += np.log(np.maximum(1e-30, p[np.arange(len(often)), codes[s + often] % SLOTS]))
     return out + np.where(codes < COMMON, 0.0, rare_part)
 
@@ -185,19 +213,19 @@ def descend(weights: np.ndarray, power: np.ndarray, rows: np.ndarray, gradient:
         weights[at] -= STEP * g / np.sqrt(power[at])[:, None]
 
 
-def train(m: Model, codes: np.ndarray, begin: np.ndarray, used: np.ndarray) -> None:
+def train(m: Model, codes: np.ndarray, marks: np.ndarray, begin: np.ndarray, used: np.ndarray) -> None:
     """Mini-batches over the used positions, in place."""
     at = np.nonzero(used)[0]
     for s in range(0, len(at), BATCH):
         i = at[s : s + BATCH]
-        c, g = contexts(codes, begin, i), class_of(codes[i])
-        rows = class_rows(c)
+        c, key, g = contexts(codes, begin, i), ngrams(codes, marks, begin, i), class_of(codes[i])
+        rows = class_rows(m, c, key)
         p = softmax(summed(m.of_class, rows, m.bias))
         p[np.arange(len(g)), g] -= 1
         descend(m.of_class, m.class_power, rows, p)
         often = np.nonzero(g < FREQUENT)[0]
         if len(often):
-            rows = slot_rows(c[:, often], g[often])
+            rows = slot_rows(m, c[:, often], key[often], g[often])
             p = softmax(summed(m.of_slot, rows, m.slot_bias[g[often]]))
             p[np.arange(len(often)), codes[i[often]] % SLOTS] -= 1
             descend(m.of_slot, m.slot_power, rows, p)
@@ -217,7 +245,11 @@ ROWS = 2048
 
 
 def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
-    """The model after one round over all training texts. Each task sends one change for each block of weights; they are averaged in two steps."""
+    """The model after one round over all training texts. Each task sends one change for each block of weights; they are averaged in two steps.
+
+    A task takes many pieces, one after the other, so that there are two tasks for each core and not one for each piece of input: what is
+    sent then goes with the cluster and the model, not with the input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, any_used = Model(**{**m.__dict__, **{k: getattr(m, k).copy() for k in PARTS}}), False
@@ -226,7 +258,8 @@ def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
                 ids, lens, held, tokens = unpacked(*map(plain, row[:4]))
                 begin = np.repeat(np.cumsum(lens) - lens, lens)
                 used = used_in(number, ids, lens, held, begin)
-                train(own, own.codes(plain(row[4]).split(b"\n"))[tokens], begin, used)
+                words = plain(row[4]).split(b"\n")
+                train(own, own.codes(words)[tokens], word_marks(words)[tokens], begin, used)
                 any_used |= bool(used.any())
         if any_used:
             for name in PARTS:
@@ -240,7 +273,8 @@ def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
         return pa.table({"part": t.column("part")[:1], "block": t.column("block")[:1], "tasks": pa.array([n], pa.int64()), "change": pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())})
 
     schema = "part string, block int, tasks long, change binary"
-    sent = pieces.select("ids", "lens", "held", "tokens", "words").mapInArrow(run, schema).withColumn("share", F.spark_partition_id() % 64)
+    tasks = 2 * pieces.sparkSession.sparkContext.defaultParallelism
+    sent = pieces.select("ids", "lens", "held", "tokens", "words").coalesce(tasks).mapInArrow(run, schema).withColumn("share", F.spark_partition_id() % 64)
     some = sent.groupBy("part", "block", "share").applyInArrow(add, schema)
     new = {k: getattr(m, k).copy() for k in PARTS}
     for r in some.groupBy("part", "block").applyInArrow(add, schema).collect():
@@ -255,14 +289,14 @@ def score(docs: DataFrame) -> DataFrame:
 
     Counts and weights come from the rows that aren't held (`held` null counts as held). Null and empty texts are one end token. Without
     training rows every count is 0, and base_score is 0 for each token; equal texts get equal scores; an empty table gives an empty result.
+    Texts count whole however long they are, repeated rows count each time, further columns are ignored.
     """
     pieces, _ = written(tokenised(docs.withColumn("held", F.coalesce("held", F.lit(True)))))
-    # One exchange by word: a word has a row for each piece, so its window holds as many rows as there are pieces at most.
-    same = Window.partitionBy("word")
+    # Words are summed before they are dealt out, so one that stands in every piece is a row for each task; back to the pieces goes an
+    # equi-join, whose common words adaptive execution splits.
     rows = pieces.select("piece", "words", "train").mapInArrow(word_rows, "piece long, place int, word binary, n long")
-    rows = rows.withColumn("c", F.sum("n").over(same)).withColumn("first", F.min("piece").over(same) == F.col("piece"))
-    rows, _ = written(rows.where("first or c <> n").select("piece", "place", "word", "c", "first", (F.col("c") != F.col("n")).alias("more")))
-    counts = rows.where("first and c > 0").select("word", "c")
+    summed_up, _ = written(rows.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("pieces")))
+    counts = summed_up.where("c > 0").select("word", "c")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, kinds = int(total[0]), int(total[1])
     common = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()]
@@ -277,7 +311,7 @@ def score(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(range(SURFACE), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["kind", "tokens", "words"])
 
     rare = counts.select("word", "c").mapInArrow(rare_words, "kind int, tokens long, words long").groupBy("kind").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect()
-    model = Model.start(common, {r.kind: (r.t, r.w) for r in rare})
+    model = Model.start(common, {r.kind: (r.t, r.w) for r in rare}, hashed_rows(tokens))
     for number in range(ROUNDS):
         model = one_round(pieces, model, number)
 
@@ -294,13 +328,13 @@ def score(docs: DataFrame) -> DataFrame:
                 few = codes >= COMMON
                 rare_part[few] = np.log((known[few] + 1) / model.rare_total[codes[few] - COMMON])
                 starts = np.cumsum(lens) - lens
-                lp = log_chances(model, codes[stream], np.repeat(starts, lens), rare_part[stream])
+                lp = log_chances(model, codes[stream], word_marks(words)[stream], np.repeat(starts, lens), rare_part[stream])
                 base = np.log10((known + 1) / (tokens + kinds + 1))[stream]
                 parts = [lens, np.add.reduceat((known > 0)[stream].astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(lp, starts) / np.log(10)]
                 out.append(pa.table({"doc_id": pa.array(ids, mask=ids == NO_ID), "held_out": pa.array(held), "n_tokens": pa.array(parts[0]), "n_known": pa.array(parts[1]), "train_tokens": pa.array(np.full(len(ids), tokens)), "base_score": pa.array(parts[2]), "score": pa.array(parts[3])}))
         return pa.concat_tables(out) if out else NOTHING.empty_table()
 
-    back = rows.where("more").select("piece", "place", "c")
+    back = rows.join(summed_up.where("pieces > 1 and c > 0"), "word").where("c <> n").select("piece", "place", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return pieces.groupBy("piece").cogroup(back.groupBy("piece")).applyInArrow(measured, schema)
 
