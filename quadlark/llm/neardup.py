@@ -1,8 +1,9 @@
 """Near copies by the Jaccard similarity of five-word shingles: several fingerprints of a text propose, the shingles decide.
 
 A text's fingerprints are BANDS hashes of DEPTH least shingle values each, under as many orders of all shingles. Two texts of similarity s
-have an equal one with chance 1 - (1 - s^DEPTH)^BANDS, which is 0.9999 at 0.8. Texts that share a fingerprint are compared by their
-shingles, all pairs in buckets of up to SMALL texts; in a larger one each text meets the least, and those unlike it go on without it.
+have an equal one with chance 1 - (1 - s^DEPTH)^BANDS, which is 0.9999 at 0.8. Texts that hang together by shared fingerprints are
+candidates, and are compared by their shingles: within a group of bounded size by a sweep that loses no link, within a larger one bucket by
+bucket, all pairs in buckets of up to SMALL texts; in a larger one each text meets the least, and those unlike it go on without it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import let_go, trim, written
 from .components import components
 
 WORDS, BANDS, DEPTH, SMALL = 5, 24, 5, 16
+#: Texts, and bytes of their shingles, that may meet in one task.
+GROUP, GROUP_BYTES = 4096, 16 << 20
 #: Similarity from which texts are near copies, as a fraction.
 LEAST = (4, 5)
 PIECE = 1 << 12
@@ -87,8 +90,63 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(each: DataFrame) -> DataFrame | None:
-    """(t, prints, held) of texts to links (u, v) between near copies; none if no two texts share a fingerprint."""
-    rows = each.groupBy("t").agg(F.first("prints").alias("prints")).select("t", F.explode("prints").alias("key"))
+    """(t, prints, held) of texts to links (u, v) between near copies; none if no two texts share a fingerprint.
+
+    Texts that hang together by shared fingerprints are candidates. Candidate groups of up to GROUP texts and GROUP_BYTES of shingles meet in
+    one task each, where every text's shingles arrive once; larger ones go on bucket by bucket.
+    """
+    rows = each.groupBy("t").agg(F.first("prints").alias("prints"), F.first(F.length("held")).alias("size"))
+    keyed, _ = written(rows.select("t", F.explode("prints").alias("key")))
+    least = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("a")).where("n > 1").select("key", "a")
+    candidates, _ = written(keyed.join(least, "key").where("t <> a").select("t", "a").distinct())
+    if candidates.isEmpty():
+        return None
+    group, _ = written(components(candidates.select(F.col("t").alias("u"), F.col("a").alias("v"))).join(rows.select(F.col("t").alias("node"), "size"), "node"))
+    sizes = group.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sizes, _ = written(sizes.withColumn("fits", (F.col("n") <= GROUP) & (F.col("size") <= GROUP_BYTES)).select("root", "fits"))
+    placed, _ = written(group.join(sizes, "root").select(F.col("node").alias("t"), "root", "fits"))
+    sets = each.select("t", "held").join(placed.where("fits"), "t").groupBy("t", "root").agg(F.first("held").alias("held"))
+    found, _ = written(sets.groupBy("root").applyInArrow(_swept, "u long, v long"))
+    large = placed.where("not fits").select("t")
+    if large.isEmpty():
+        return found
+    more = bucketwise(keyed.join(large, "t", "left_semi"), each.join(large, "t", "left_semi"))
+    return found if more is None else found.unionByName(more)
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among texts by their shingles: each reached text is held against all that are not yet reached, by one count."""
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    begin = np.cumsum(size) - size
+    edges, left = [], np.arange(len(sets))
+    mark = np.zeros(len(every), bool)
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            mine = place[begin[at] : begin[at] + size[at]]
+            mark[mine] = True
+            common = np.array([np.count_nonzero(mark[place[begin[k] : begin[k] + size[k]]]) for k in left]) if len(left) < 8 else np.add.reduceat(mark[place], begin, dtype=np.int64)[left]
+            mark[mine] = False
+            hit = LEAST[1] * common >= LEAST[0] * (size[at] + size[left] - common)
+            edges += [(at, k) for k in left[hit]]
+            queue += list(left[hit])
+            left = left[~hit]
+    return edges
+
+
+def _swept(t: pa.Table) -> pa.Table:
+    keys = t.column("t").to_numpy()
+    order = np.argsort(keys)
+    held = t.column("held").to_pylist()
+    e = np.array(forest([np.frombuffer(held[k], np.uint64) for k in order]), np.int64).reshape(-1, 2)
+    return pa.table({"u": keys[order][e[:, 0]], "v": keys[order][e[:, 1]]})
+
+
+def bucketwise(rows: DataFrame, each: DataFrame) -> DataFrame | None:
+    """Links among texts of large candidate groups, from (t, key) and (t, held): in buckets of up to SMALL texts all pairs; in a larger one
+    each text meets the least, and those unlike it go on without it."""
     found, sets = [], None
     while True:
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("a")).where("n > 1")

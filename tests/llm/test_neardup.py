@@ -43,9 +43,10 @@ def slow_groups(rows):
     return {i: find(i) for i in root}
 
 
-@pytest.mark.parametrize("small", [2, nd.SMALL])
-def test_against_all_pairs(make, monkeypatch, small):
-    """A small bound takes the way for large buckets, where a text meets the least of its bucket only."""
+@pytest.mark.parametrize("group, small", [(nd.GROUP, nd.SMALL), (1, nd.SMALL), (1, 2)])
+def test_against_all_pairs(make, monkeypatch, group, small):
+    """A small bound of groups takes the way by buckets, a small one of buckets that where a text meets the least of its bucket only."""
+    monkeypatch.setattr(nd, "GROUP", group)
     monkeypatch.setattr(nd, "SMALL", small)
     rows = corpus(random.Random(3))
     want = slow_groups(rows)
