@@ -40,8 +40,8 @@ PIECES = "piece long, ids binary, lens binary, held binary, tokens binary, words
 
 
 def hashed_rows(tokens: int) -> int:
-    """Rows for hashed n-grams: a power of two, about two to four times the square root of the training tokens."""
-    return max(HASHED, 1 << int(2 * tokens**0.5).bit_length())
+    """Rows for hashed n-grams: a power of two, one to two times the square root of the training tokens."""
+    return max(HASHED, 1 << int(tokens**0.5).bit_length())
 
 
 def word_marks(words: list[bytes]) -> np.ndarray:
@@ -247,7 +247,7 @@ ROWS = 2048
 def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
     """The model after one round over all training texts. Each task sends one change for each block of weights; they are averaged in two steps.
 
-    A task takes many pieces, one after the other, so that there are two tasks for each core and not one for each piece of input: what is
+    A task takes many pieces, one after the other, so that there is a task for each core and not one for each piece of input: what is
     sent then goes with the cluster and the model, not with the input.
     """
 
@@ -273,7 +273,7 @@ def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
         return pa.table({"part": t.column("part")[:1], "block": t.column("block")[:1], "tasks": pa.array([n], pa.int64()), "change": pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())})
 
     schema = "part string, block int, tasks long, change binary"
-    tasks = 2 * pieces.sparkSession.sparkContext.defaultParallelism
+    tasks = pieces.sparkSession.sparkContext.defaultParallelism
     sent = pieces.select("ids", "lens", "held", "tokens", "words").coalesce(tasks).mapInArrow(run, schema).withColumn("share", F.spark_partition_id() % 64)
     some = sent.groupBy("part", "block", "share").applyInArrow(add, schema)
     new = {k: getattr(m, k).copy() for k in PARTS}

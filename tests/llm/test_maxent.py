@@ -106,7 +106,7 @@ def test_against_a_slow_model():
 
 def test_hashed_rows_grow():
     assert me.hashed_rows(0) == me.HASHED
-    assert all(2 * n**0.5 <= me.hashed_rows(n) <= max(me.HASHED, 4 * n**0.5) for n in (10**3, 10**7, 10**9, 10**12))
+    assert all(n**0.5 <= me.hashed_rows(n) <= max(me.HASHED, 2 * n**0.5) for n in (10**3, 10**7, 10**9, 10**12))
 
 
 @pytest.mark.parametrize("piece", [40, me.PIECE])
