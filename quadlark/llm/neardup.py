@@ -14,14 +14,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let_go, trim, written
+from .common import drop_table, let_go, trim, written
 from .components import components
 
 WORDS, BANDS, DEPTH, SMALL = 5, 24, 5, 16
-#: Texts, and bytes of their shingles, that may meet in one task.
+#: Texts, and bytes of theirs or of their shingles, that may meet in one task.
 GROUP, GROUP_BYTES = 4096, 16 << 20
 #: Similarity from which texts are near copies, as a fraction.
 LEAST = (4, 5)
@@ -39,6 +40,16 @@ def text_key(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) if words else 0
 
 
+def text_keys(text: Column) -> Column:
+    """text_key of a column."""
+
+    @F.arrow_udf("long")
+    def of(text: pa.Array) -> pa.Array:
+        return _signed([text_key(text_words(t.as_py())) for t in text])
+
+    return of(text.cast("string"))
+
+
 def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
     """Hashes of the distinct shingles, in order; a shorter text is one shingle."""
     if not words:
@@ -70,48 +81,64 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in range(0, b.num_rows, 256):
             part = b.slice(s, 256)
-            keys, prints, held = [], [], []
+            keys, prints, count = [], [], []
             for t in part.column(1):
                 words = text_words(t.as_py())
                 keys.append(text_key(words))
                 values = shingles(words)
                 prints += bands(values) if words else []
-                held.append(values)
-            ends = np.cumsum([0, *(BANDS * bool(len(x)) for x in held)])
+                count.append(len(values))
+            ends = np.cumsum([0, *(BANDS * bool(n) for n in count)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(prints))
-            yield pa.RecordBatch.from_arrays([part.column(0), _signed(keys), lists, pa.array([x.tobytes() for x in held], pa.binary())], ["doc_id", "t", "prints", "held"])
+            size = np.maximum(pc.fill_null(pc.binary_length(part.column(1)), 0).to_numpy(zero_copy_only=False), 8 * np.array(count, np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), _signed(keys), lists, pa.array(size, pa.int64())], ["doc_id", "t", "prints", "size"])
         trim()
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(text_words(x.as_py())).tobytes() for x in b.column(1)], pa.binary())], ["t", "held"])
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
-def links(each: DataFrame) -> DataFrame | None:
-    """(t, prints, held) of texts to links (u, v) between near copies; none if no two texts share a fingerprint.
+def links(each: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(t, prints, size) and (t, text) of texts to links (u, v) between near copies; none if no two texts share a fingerprint.
 
-    Texts that hang together by shared fingerprints are candidates. Candidate groups of up to GROUP texts and GROUP_BYTES of shingles meet in
-    one task each, where every text's shingles arrive once; larger ones go on bucket by bucket.
+    Texts that hang together by shared fingerprints are candidates. Candidate groups of up to GROUP texts and GROUP_BYTES meet in one task
+    each, where every text arrives once and is shingled again, as shingles take more room than text; larger ones go on bucket by bucket.
     """
-    rows = each.groupBy("t").agg(F.first("prints").alias("prints"), F.first(F.length("held")).alias("size"))
-    keyed, _ = written(rows.select("t", F.explode("prints").alias("key")))
+    spark, spent = each.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        df, at = written(df)
+        spent.append(at)
+        return df
+
+    rows = each.groupBy("t").agg(F.first("prints").alias("prints"), F.first("size").alias("size"))
+    keyed = kept(rows.select("t", F.explode("prints").alias("key")))
     least = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("a")).where("n > 1").select("key", "a")
-    candidates, _ = written(keyed.join(least, "key").where("t <> a").select("t", "a").distinct())
-    if candidates.isEmpty():
-        return None
-    group, _ = written(components(candidates.select(F.col("t").alias("u"), F.col("a").alias("v"))).join(rows.select(F.col("t").alias("node"), "size"), "node"))
-    sizes = group.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    sizes, _ = written(sizes.withColumn("fits", (F.col("n") <= GROUP) & (F.col("size") <= GROUP_BYTES)).select("root", "fits"))
-    placed, _ = written(group.join(sizes, "root").select(F.col("node").alias("t"), "root", "fits"))
-    sets = each.select("t", "held").join(placed.where("fits"), "t").groupBy("t", "root").agg(F.first("held").alias("held"))
-    found, _ = written(sets.groupBy("root").applyInArrow(_swept, "u long, v long"))
-    large = placed.where("not fits").select("t")
-    if large.isEmpty():
-        return found
-    more = bucketwise(keyed.join(large, "t", "left_semi"), each.join(large, "t", "left_semi"))
-    return found if more is None else found.unionByName(more)
+    candidates = kept(keyed.join(least, "key").where("t <> a").select("t", "a").distinct())
+    found = None
+    if not candidates.isEmpty():
+        group = kept(components(candidates.select(F.col("t").alias("u"), F.col("a").alias("v"))).join(rows.select(F.col("t").alias("node"), "size"), "node"))
+        sizes = group.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        sizes = kept(sizes.withColumn("fits", (F.col("n") <= GROUP) & (F.col("size") <= GROUP_BYTES)).select("root", "fits"))
+        placed = kept(group.join(sizes, "root").select(F.col("node").alias("t"), "root", "fits"))
+        # The candidates grow with the documents, so they are not broadcast at any size.
+        sets = texts.join(placed.where("fits").hint("merge"), "t").groupBy("t", "root").agg(F.first("text").alias("text"))
+        found, _ = written(sets.groupBy("root").applyInArrow(_swept, "u long, v long"))
+        large = placed.where("not fits").select("t")
+        if not large.isEmpty():
+            more = bucketwise(keyed.join(large, "t", "left_semi"), texts.join(large, "t", "left_semi"))
+            found = found if more is None else found.unionByName(more)
+    for at in spent:
+        drop_table(spark, at)
+    return found
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -139,13 +166,13 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def _swept(t: pa.Table) -> pa.Table:
     keys = t.column("t").to_numpy()
     order = np.argsort(keys)
-    held = t.column("held").to_pylist()
-    e = np.array(forest([np.frombuffer(held[k], np.uint64) for k in order]), np.int64).reshape(-1, 2)
+    texts = t.column("text")
+    e = np.array(forest([shingles(text_words(texts[int(k)].as_py())) for k in order]), np.int64).reshape(-1, 2)
     return pa.table({"u": keys[order][e[:, 0]], "v": keys[order][e[:, 1]]})
 
 
-def bucketwise(rows: DataFrame, each: DataFrame) -> DataFrame | None:
-    """Links among texts of large candidate groups, from (t, key) and (t, held): in buckets of up to SMALL texts all pairs; in a larger one
+def bucketwise(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links among texts of large candidate groups, from (t, key) and (t, text): in buckets of up to SMALL texts all pairs; in a larger one
     each text meets the least, and those unlike it go on without it."""
     found, sets = [], None
     while True:
@@ -159,7 +186,8 @@ def bucketwise(rows: DataFrame, each: DataFrame) -> DataFrame | None:
         pairs, _ = written(pairs.unionByName(stars).distinct())
         if sets is None:
             wanted = met.select("t").distinct()
-            sets, _ = written(each.select("t", "held").join(wanted, "t", "left_semi").groupBy("t").agg(F.first("held").alias("held")))
+            one = texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+            sets, _ = written(one.mapInArrow(_sets, "t long, held binary"))
         both = pairs.join(sets.select(F.col("t").alias("a"), F.col("held").alias("x")), "a")
         both = both.join(sets.select(F.col("t").alias("b"), F.col("held").alias("y")), "b")
         seen, _ = written(both.select("a", "b", "x", "y").mapInArrow(_compared, "a long, b long, ok boolean"))
@@ -175,9 +203,9 @@ def groups(docs: DataFrame) -> DataFrame:
     t tells texts apart by their words; texts without words are equal. root tells groups apart, also where unlike texts share an id or have
     none. An empty table gives an empty result; further columns are ignored; texts count whole however long they are.
     """
-    each, _ = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_described, "doc_id long, t long, prints array<long>, held binary"))
+    each, _ = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_described, "doc_id long, t long, prints array<long>, size long"))
     texts = each.groupBy("t").agg(F.min("doc_id").alias("least"))
-    near = links(each.select("t", "prints", "held"))
+    near = links(each.select("t", "prints", "size"), docs.select(text_keys(F.col("text")).alias("t"), F.col("text").cast("string").alias("text")))
     if near is None:
         rooted = texts.withColumn("root", F.col("t"))
     else:

@@ -254,18 +254,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     only if no row with an id is in their group. Unlike texts stay, each for its own group, also if they share an id. Texts without words are
     one group; an empty table gives an empty one; further columns pass through whatever their names; long texts count whole."""
     group, _ = written(neardup.groups(docs.select("doc_id", "text")))
-    stay = group.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("k")).select(F.col("k.t").alias("__t"), F.col("k.doc_id").alias("__id"))
-
-    @F.arrow_udf("long")
-    def key_of(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([neardup.text_key(neardup.text_words(t.as_py())) for t in text], np.uint64).view(np.int64))
-
-    every = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("__own"), key_of(F.col("text").cast("string")).alias("__t"), F.xxhash64(*every).alias("__hash"))
-    kept = rows.join(stay, "__t").where(F.col("__own").eqNullSafe(F.col("__id")))
-    one = kept.groupBy("__t").agg(F.min_by("__row", F.struct(F.col("__row.text"), "__hash")).alias("__row"))
-    return one.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    stay = group.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("k"))
+    stay = stay.select(F.col("k.t").alias("__t"), F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.none").alias("__none"))
+    loose = {f.name for f in docs.schema.fields if any(k in f.dataType.simpleString() for k in ("map<", "variant", "interval"))}
+    every = [F.col(f"`{c}`") for c in docs.columns if c not in loose]
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"))
+    own = F.col("doc_id").cast("long")
+    row = F.struct(F.col("text").alias("text"), F.xxhash64(*every).alias("hash"), rest.alias("rest")).alias("__row")
+    rows = docs.select(row, neardup.text_keys(F.col("text")).alias("__t"), F.coalesce(own, F.lit(0)).alias("__id"), own.isNull().alias("__none"))
+    # By text and id, as the join is, so that whole rows move once, with one copy of the text unless a column has no order; repeated rows are combined before.
+    least = F.min_by("__row", F.struct("__row.text", "__row.hash")) if loose else F.min("__row")
+    one = rows.groupBy("__t", "__id", "__none").agg(least.alias("__row")).join(stay, ["__t", "__id", "__none"], "left_semi")
+    return one.select(*(F.col("__row.text" if c.lower() == "text" else f"__row.rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
