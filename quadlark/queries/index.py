@@ -143,21 +143,11 @@ def ti_unset(spark, d):
     return ix.unset(a(spark, d), 5)
 
 
-_BOX6 = f"(select distinct cast(6 as int) as lod, x, y from (select x0, y0, unnest(range(x0, x1 + 1)) as x, y1 from ({fx.BOXES}) q where id % 50 = 0) r, lateral (select unnest(range(y0, y1 + 1)) as y) s)"
-
-
-@query("ti_setmask", f"select * from (select lod, x, y, (coalesce(a.flags, 0) & ~cast(case when w.one is null then 0 else 6 end as bigint)) | cast(case when w.one is null then 0 else 4 end as bigint) as flags from {_A} a full join (select *, 1 as one from {_BOX6} b) w using (lod, x, y)) t where flags <> 0")
-def ti_setmask(spark, d):
-    """Rectangles written under a mask: every fiftieth order's box."""
-    writes = ix.box_tiles(fx.sql(spark, d, fx.BOXES).where("id % 50 = 0").drop("id")).distinct()
-    return ix.set_masked(a(spark, d), writes.select(*KEY, F.lit(6).cast("bigint").alias("mask"), F.lit(4).cast("bigint").alias("value")))
-
-
 _BOXES6 = f"(select distinct cast(6 as int) as lod, x, y from (select x0, y0, unnest(range(x0, x1 + 1)) as x, y1 from ({fx.BOXES}) q) r, lateral (select unnest(range(y0, y1 + 1)) as y) s)"
 
 
-@query("ti_setmask_all", f"select * from (select lod, x, y, (coalesce(a.flags, 0) & ~cast(case when w.one is null then 0 else 6 end as bigint)) | cast(case when w.one is null then 0 else 4 end as bigint) as flags from {_A} a full join (select *, 1 as one from {_BOXES6} b) w using (lod, x, y)) t where flags <> 0")
-def ti_setmask_all(spark, d):
+@query("ti_setmask", f"select * from (select lod, x, y, (coalesce(a.flags, 0) & ~cast(case when w.one is null then 0 else 6 end as bigint)) | cast(case when w.one is null then 0 else 4 end as bigint) as flags from {_A} a full join (select *, 1 as one from {_BOXES6} b) w using (lod, x, y)) t where flags <> 0")
+def ti_setmask(spark, d):
     """Rectangles written under a mask: every order's box."""
     writes = ix.box_tiles(fx.sql(spark, d, fx.BOXES).drop("id")).distinct()
     return ix.set_masked(a(spark, d), writes.select(*KEY, F.lit(6).cast("bigint").alias("mask"), F.lit(4).cast("bigint").alias("value")))
