@@ -18,6 +18,8 @@ from .common import fold, held, table
 DIMENSIONS = 2048
 #: Vectors of trigrams and of letters that a worker remembers at most; then it starts anew.
 MOST, MOST_LETTERS = 1 << 15, 1 << 13
+#: Texts whose vectors are summed in one multiplication, at most.
+TOGETHER = 256
 
 
 def letter_vector(point: int, dimensions: int, seed: int) -> np.ndarray:
@@ -75,21 +77,51 @@ class Space:
         self.known, self.place = known[order], np.concatenate([self.place, np.arange(self.used, self.used + len(new))])[order]
         self.used += len(new)
 
-    def bundle(self, grams: np.ndarray) -> np.ndarray:
-        """The sum of the trigrams' vectors, a bounded part of the distinct ones at a time."""
-        distinct, counts = np.unique(grams, return_counts=True)
-        total = np.zeros(self.dimensions)
+    def bundles(self, grams: list[np.ndarray], rows: list[int] | None = None, weights: list[float] | None = None) -> np.ndarray:
+        """The sum of each text's trigram vectors, times its weight; texts of one row number are added up. A bounded part of the distinct
+        trigrams is multiplied at a time, once for all texts, in doubles where there are weights: counts alone are exact in singles."""
+        rows = list(range(len(grams))) if rows is None else rows
+        sizes, height = [len(g) for g in grams], max(rows, default=-1) + 1
+        every = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        every, row = every[order], np.repeat(rows, sizes)[order]
+        weight = None if weights is None else np.repeat(weights, sizes)[order]
+        first = np.ones(len(every), bool)
+        first[1:] = every[1:] != every[:-1]
+        distinct, place = every[first], np.cumsum(first) - 1
+        kind, total = np.float32 if weights is None else np.float64, np.zeros((height, self.dimensions))
         for s in range(0, len(distinct), 1024):
-            part, n = distinct[s : s + 1024], counts[s : s + 1024].astype(np.float32)
+            part = distinct[s : s + 1024]
+            lo, hi = np.searchsorted(place, [s, s + len(part)])
+            at = row[lo:hi] * len(part) + place[lo:hi] - s
+            n = np.bincount(at, None if weight is None else weight[lo:hi], height * len(part)).reshape(height, -1).astype(kind)
             new = part[~np.isin(part, self.known, assume_unique=True)]
             if len(new):
                 if self.used + len(new) > self.most:
                     self.reset()
                     new = part
                 self._learn(new)
-            total += n @ self.vectors[self.place[np.searchsorted(self.known, part)]].astype(np.float32)
+            total += n @ self.vectors[self.place[np.searchsorted(self.known, part)]].astype(kind)
         return total
 
+    def bundle(self, grams: np.ndarray) -> np.ndarray:
+        """The sum of one text's trigram vectors."""
+        return self.bundles([grams])[0]
+
+
+def in_groups(grams: Iterator[np.ndarray], texts: int, most: int = 1 << 18) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(place, trigrams) of texts with any, in groups of at most `texts` texts, closed once they hold `most` trigrams."""
+    group, held_now = [], 0
+    for k, g in enumerate(grams):
+        if len(g):
+            group.append((k, g))
+            held_now += len(g)
+        if len(group) == texts or held_now >= most:
+            yield group
+            group, held_now = [], 0
+    if group:
+        yield group
+
 
 def space(dimensions: int, seed: int) -> Space:
     return held(("space", dimensions, seed), lambda: Space(dimensions, seed))
@@ -106,11 +138,12 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 17) ->
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, total = space(dimensions, seed), {}
         for b in batches:
-            for text, lang in zip(b.column(0), b.column(1)):
-                grams = s.trigrams(text.as_py() or "")
-                if len(grams):
-                    vector = total.setdefault(lang.as_py(), np.zeros(dimensions))
-                    vector += s.bundle(grams) / np.float64(len(grams))
+            langs = b.column(1).to_pylist()
+            for group in in_groups((s.trigrams(t.as_py() or "") for t in b.column(0)), b.num_rows):
+                names = sorted({langs[k] for k, _ in group})
+                sums = s.bundles([g for _, g in group], [names.index(langs[k]) for k, _ in group], [1.0 / len(g) for _, g in group])
+                for lang, vector in zip(names, sums):
+                    total[lang] = total.get(lang, 0.0) + vector
         for lang, vector in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vector])], ["lang", "vector"])
 
@@ -134,18 +167,13 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space(dimensions, seed)
         for b in batches:
-            pred, score = [], []
-            for t in b.column(1):
-                grams = s.trigrams(t.as_py() or "")
-                v = s.bundle(grams).astype(np.float64) if len(grams) and names else None
-                if v is None:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                cosine = matrix @ v / (np.linalg.norm(v) or 1.0)
-                best = int(np.argmax(cosine))
-                pred.append(names[best])
-                score.append(float(1.0 / np.exp(sharpness * (cosine - cosine[best])).sum()))
+            pred, score = ["und"] * b.num_rows, [0.0] * b.num_rows
+            for group in in_groups((s.trigrams(t.as_py() or "") for t in b.column(1)), TOGETHER) if names else ():
+                for (k, _), v in zip(group, s.bundles([g for _, g in group])):
+                    cosine = matrix @ v / (np.linalg.norm(v) or 1.0)
+                    best = int(np.argmax(cosine))
+                    pred[k] = names[best]
+                    score[k] = float(1.0 / np.exp(sharpness * (cosine - cosine[best])).sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
