@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of five-word shingles: several fingerprints of a text propose, the shingles decide.
+"""Near copies by the Jaccard similarity of five-word shingles: min-hash bands of a text propose, the shingles decide. Fingerprints within 4
+bits (module simhash) find few texts of similarity 0.8, so they do not propose here.
 
 A text's fingerprints are BANDS hashes of DEPTH least shingle values each, under as many orders of all shingles. Two texts of similarity s
 have an equal one with chance 1 - (1 - s^DEPTH)^BANDS, which is 0.9999 at 0.8. Texts that hang together by shared fingerprints are
