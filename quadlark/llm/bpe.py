@@ -295,7 +295,7 @@ def round_trip(docs: DataFrame, path: str, keep_ids: bool = False, place: str |
             back.append(plain.hexdigest())
             if keep_ids:
                 every.append(packed.astype(np.int32))
-        more = [pa.array(every, pa.list_(pa.int32()))] * keep_ids + [part.column(2)] * bool(place)
+        more = [pa.array(every, pa.list_(pa.int32()))] * keep_ids + ([part.column(2)] if place else [])
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids + ["place"] * bool(place)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], names)
 

@@ -74,3 +74,22 @@ def test_table(spark, make, odd, library):
     assert bpe.round_trip(make([]), PATH).count() == 0
     kept = bpe.round_trip(make(odd), PATH, keep_ids=True).where("doc_id = 7").first()
     assert kept.ids == library.encode_ordinary(odd[-1][1])
+
+
+@pytest.mark.parametrize("keep_ids", [False, True])
+@pytest.mark.parametrize("place", [None, "h"])
+def test_columns(make, keep_ids, place):
+    """Every choice of further columns, with and without a place."""
+    row = bpe.round_trip(make([(3, "one two")]), PATH, keep_ids, place).first().asDict()
+    assert list(row) == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids + ["place"] * bool(place)
+    assert row["n_tokens"] == len(row.get("ids", [1, 2])) and row.get("place", 1) == 1
+
+
+def test_query(spark, library):
+    """op3 over a whole table, as the library gives it."""
+    d = "/root/testdata/sf0.001"
+    want = []
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        ids = library.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+    assert sorted(tuple(r) for r in bpe.op3(spark, d).collect()) == sorted(want)
