@@ -3,14 +3,13 @@ bits (module simhash) find few texts of similarity 0.8, so they do not propose h
 
 A text's fingerprints are BANDS hashes of DEPTH least shingle values each, under as many orders of all shingles. Two texts of similarity s
 have an equal one with chance 1 - (1 - s^DEPTH)^BANDS, which is 0.9999 at 0.8. Texts that hang together by shared fingerprints are
-candidates, and are compared by their shingles: within a group of bounded size by a sweep that loses no link, within a larger one bucket by
-bucket, all pairs in buckets of up to SMALL texts; in a larger one each text meets the least, and those unlike it go on without it.
+candidates, and are compared by their shingles, by a sweep that loses no link: a group of bounded size as a whole, a larger one fingerprint
+by fingerprint. Where the texts of one fingerprint are too many for one task, they are cut into blocks, and each two blocks meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import drop_table, let_go, trim, written
 from .components import components
 
-WORDS, BANDS, DEPTH, SMALL = 5, 24, 5, 16
+WORDS, BANDS, DEPTH = 5, 24, 5
+#: Texts left in a sweep from which they are counted together.
+SMALL = 16
 #: Texts, and bytes of theirs or of their shingles, that may meet in one task.
 GROUP, GROUP_BYTES = 4096, 16 << 20
 #: Similarity from which texts are near copies, as a fraction.
@@ -68,11 +69,6 @@ def bands(held: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)]
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return LEAST[1] * common >= LEAST[0] * (len(a) + len(b) - common)
-
-
 def _signed(x: list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
@@ -96,22 +92,12 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(text_words(x.as_py())).tobytes() for x in b.column(1)], pa.binary())], ["t", "held"])
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-
 def links(each: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(t, prints, size) and (t, text) of texts to links (u, v) between near copies; none if no two texts share a fingerprint.
 
     Texts that hang together by shared fingerprints are candidates. Candidate groups of up to GROUP texts and GROUP_BYTES meet in one task
-    each, where every text arrives once and is shingled again, as shingles take more room than text; larger ones go on bucket by bucket.
+    each, where every text arrives once and is shingled again, as shingles take more room than text; larger ones go on fingerprint by
+    fingerprint, in one step however many unlike texts share one.
     """
     spark, spent = each.sparkSession, []
 
@@ -129,23 +115,28 @@ def links(each: DataFrame, texts: DataFrame) -> DataFrame | None:
         group = kept(components(candidates.select(F.col("t").alias("u"), F.col("a").alias("v"))).join(rows.select(F.col("t").alias("node"), "size"), "node"))
         sizes = group.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
         sizes = kept(sizes.withColumn("fits", (F.col("n") <= GROUP) & (F.col("size") <= GROUP_BYTES)).select("root", "fits"))
-        placed = kept(group.join(sizes, "root").select(F.col("node").alias("t"), "root", "fits"))
+        placed = kept(group.join(sizes, "root").select(F.col("node").alias("t"), "root", "size", "fits"))
         # The candidates grow with the documents, so they are not broadcast at any size.
-        sets = texts.join(placed.where("fits").hint("merge"), "t").groupBy("t", "root").agg(F.first("text").alias("text"))
+        sets = texts.join(placed.where("fits").drop("size").hint("merge"), "t").groupBy("t", "root").agg(F.first("text").alias("text"))
         found, _ = written(sets.groupBy("root").applyInArrow(_swept, "u long, v long"))
-        large = placed.where("not fits").select("t")
+        large = placed.where("not fits").select("t", "size")
         if not large.isEmpty():
-            more = bucketwise(keyed.join(large, "t", "left_semi"), texts.join(large, "t", "left_semi"))
-            found = found if more is None else found.unionByName(more)
+            more, _ = written(bucketwise(keyed.join(large.hint("merge"), "t"), texts))
+            found = found.unionByName(more)
     for at in spent:
         drop_table(spark, at)
     return found
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among texts by their shingles: each reached text is held against all that are not yet reached, by one count."""
-    every, place = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(x) for x in sets])
+def forest(sets: list[np.ndarray], across: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among texts by their shingles. across: a mark per text; only unlike marks need comparing.
+
+    Texts are in the order of their sizes, so those that may be alike by their sizes are a run; a reached text is held against all in its
+    run that are not yet reached, by one count.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    every, place = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    size = np.array([len(sets[k]) for k in order])
     begin = np.cumsum(size) - size
     edges, left = [], np.arange(len(sets))
     mark = np.zeros(len(every), bool)
@@ -153,49 +144,50 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
+            low, high = np.searchsorted(size[left], -(-LEAST[0] * size[at] // LEAST[1])), np.searchsorted(size[left], LEAST[1] * size[at] // LEAST[0], "right")
+            met = left[low:high]
+            if across is not None:
+                met = met[across[order[met]] != across[order[at]]]
+            if not len(met):
+                continue
             mine = place[begin[at] : begin[at] + size[at]]
             mark[mine] = True
-            common = np.array([np.count_nonzero(mark[place[begin[k] : begin[k] + size[k]]]) for k in left]) if len(left) < 8 else np.add.reduceat(mark[place], begin, dtype=np.int64)[left]
+            if len(met) < SMALL:
+                common = np.array([np.count_nonzero(mark[place[begin[k] : begin[k] + size[k]]]) for k in met])
+            else:
+                run = slice(met[0], met[-1] + 1)
+                common = np.add.reduceat(mark[place[begin[met[0]] : begin[met[-1]] + size[met[-1]]]], begin[run] - begin[met[0]], dtype=np.int64)[met - met[0]]
             mark[mine] = False
-            hit = LEAST[1] * common >= LEAST[0] * (size[at] + size[left] - common)
-            edges += [(at, k) for k in left[hit]]
-            queue += list(left[hit])
-            left = left[~hit]
+            hit = met[LEAST[1] * common >= LEAST[0] * (size[at] + size[met] - common)]
+            if len(hit):
+                edges += [(order[at], order[k]) for k in hit]
+                queue += list(hit)
+                left = left[~np.isin(left, hit, assume_unique=True)]
     return edges
 
 
 def _swept(t: pa.Table) -> pa.Table:
+    """Links (u, v) among rows (t, text); of two blocks a and b, those between rows of unlike parts."""
     keys = t.column("t").to_numpy()
     order = np.argsort(keys)
     texts = t.column("text")
-    e = np.array(forest([shingles(text_words(texts[int(k)].as_py())) for k in order]), np.int64).reshape(-1, 2)
+    part = t.column("part").to_numpy()[order] if "part" in t.column_names and t.column("a")[0] != t.column("b")[0] else None
+    e = np.array(forest([shingles(text_words(texts[int(k)].as_py())) for k in order], part), np.int64).reshape(-1, 2)
     return pa.table({"u": keys[order][e[:, 0]], "v": keys[order][e[:, 1]]})
 
 
-def bucketwise(rows: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links among texts of large candidate groups, from (t, key) and (t, text): in buckets of up to SMALL texts all pairs; in a larger one
-    each text meets the least, and those unlike it go on without it."""
-    found, sets = [], None
-    while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("a")).where("n > 1")
-        met, _ = written(rows.join(sizes, "key"))
-        if met.isEmpty():
-            break
-        few = met.where(F.col("n") <= SMALL).select("key", "t")
-        pairs = few.select("key", F.col("t").alias("a")).join(few.select("key", F.col("t").alias("b")), "key").where("a < b").select("a", "b")
-        stars = met.where((F.col("n") > SMALL) & (F.col("t") > F.col("a"))).select("a", F.col("t").alias("b"))
-        pairs, _ = written(pairs.unionByName(stars).distinct())
-        if sets is None:
-            wanted = met.select("t").distinct()
-            one = texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-            sets, _ = written(one.mapInArrow(_sets, "t long, held binary"))
-        both = pairs.join(sets.select(F.col("t").alias("a"), F.col("held").alias("x")), "a")
-        both = both.join(sets.select(F.col("t").alias("b"), F.col("held").alias("y")), "b")
-        seen, _ = written(both.select("a", "b", "x", "y").mapInArrow(_compared, "a long, b long, ok boolean"))
-        found.append(seen.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        unlike = seen.where("not ok").select("a", F.col("b").alias("t"))
-        rows = met.where(F.col("n") > SMALL).join(unlike, ["a", "t"], "left_semi").select("t", "key")
-    return reduce(DataFrame.unionByName, found) if found else None
+def bucketwise(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) among texts of large candidate groups, from (t, key, size) and (t, text): all texts of one key meet in one task if they
+    are up to GROUP texts and GROUP_BYTES; else they are cut into blocks of about half of that by a hash, and each two blocks meet."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
+    fits = (F.col("n") <= GROUP) & (F.col("size") <= GROUP_BYTES)
+    blocks = F.ceil(F.greatest(2 * F.col("n") / GROUP, 2 * F.col("size") / GROUP_BYTES))
+    sizes = sizes.select("key", F.when(fits, F.lit(1)).otherwise(blocks).cast("long").alias("blocks"))
+    met, _ = written(rows.select("t", "key").join(sizes.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("t"), "blocks")))
+    one = texts.join(met.select("t").distinct().hint("merge"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("t", "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    return met.join(one.hint("merge"), "t").groupBy("key", "a", "b").applyInArrow(_swept, "u long, v long").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:

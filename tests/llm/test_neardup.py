@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quadlark.llm import neardup as nd, simhash as sh
@@ -81,3 +82,46 @@ def test_any_further_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     out = sh.deduplicate(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 4, 6]
+
+
+def test_large_groups_of_unlike_texts(make, monkeypatch):
+    """Texts that share fingerprints and are not alike, with a near copy each: no link is lost, and the steps do not grow with their number."""
+    rng, steps, real = random.Random(6), [], nd.written
+    monkeypatch.setattr(nd, "GROUP", 16)
+    monkeypatch.setattr(nd, "SMALL", 2)
+    monkeypatch.setattr(nd, "written", lambda df: steps.append(1) or real(df))
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for _ in range(40):
+        text = edited(rng, base, 9)
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(edited(rng, text, 1)))]
+    want = slow_groups(rows)
+    assert len(set(want.values())) > 30
+    assert {r.doc_id: r.component_id for r in nd.groups(make(rows)).collect()} == want
+    assert len(steps) <= 12
+
+
+def test_sweep():
+    """Sizes on both sides of the bound, and marks: the forest joins what the plain links join."""
+    rng = random.Random(7)
+    for marked in (False, True):
+        sets = []
+        for _ in range(60):
+            x = rng.sample(range(60), rng.randint(1, 60))
+            sets += [np.sort(np.array(x, np.uint64)), np.sort(np.array(x[: max(1, len(x) * 4 // 5)], np.uint64))]
+        marks = np.array([rng.randrange(2) for _ in sets]) if marked else None
+        links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(c := set(sets[i]) & set(sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(c)) and (not marked or marks[i] != marks[j])]
+        found = nd.forest(sets, marks)
+        assert {tuple(sorted(map(int, e), reverse=True)) for e in found} <= set(links) and joined(found, len(sets)) == joined(links, len(sets))
+
+
+def joined(links, n):
+    root = list(range(n))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        x, y = sorted((find(int(a)), find(int(b))))
+        root[y] = x
+    return [find(x) for x in range(n)]
