@@ -170,17 +170,27 @@ def slot_rows(m: Model, c: np.ndarray, key: np.ndarray, group: np.ndarray) -> np
     return np.stack([c[0] * FREQUENT + group, hashed_row(key + (group + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), hashed) + CONTEXT * FREQUENT])
 
 
+def highest(x: np.ndarray) -> np.ndarray:
+    """The largest value of each row, by halves of all rows at once: numpy's own maximum takes short rows one by one."""
+    while x.shape[1] > 1:
+        half = x.shape[1] + 1 >> 1
+        x = np.maximum(x[:, :half], x[:, -half:])
+    return x
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    x -= highest(x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
 def summed(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    out = weights[rows[0]] + bias
+    out = weights.take(rows[0], axis=0)
+    out += bias
+    part = np.empty_like(out)
     for r in rows[1:]:
-        out += weights[r]
+        out += weights.take(r, axis=0, out=part, mode="clip")  # no row is out of bounds; "raise" would copy `part`
     return out
 
 
@@ -202,15 +212,23 @@ def log_chances(m: Model, codes: np.ndarray, marks: np.ndarray, begin: np.ndarra
     return out + np.where(codes < COMMON, 0.0, rare_part)
 
 
+def ordered(r: np.ndarray) -> np.ndarray:
+    """The stable order of row numbers (below 2^32), by 16 bits at a time: numpy sorts those by counting."""
+    order = np.argsort(r.astype(np.uint16), kind="stable")
+    return order if r.max() < 1 << 16 else order[np.argsort((r[order] >> 16).astype(np.uint16), kind="stable")]
+
+
 def descend(weights: np.ndarray, power: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """One AdaGrad step by row: gradients of equal rows are added up first."""
+    """One AdaGrad step by row: gradients of equal rows are added up first, two columns at a time as one complex number."""
     for r in rows:
-        order = np.argsort(r, kind="stable")
-        first = np.nonzero(np.diff(r[order], prepend=-1))[0]
-        g = np.add.reduceat(gradient[order], first, axis=0)
-        at = r[order[first]]
+        order = ordered(r)
+        r = r[order]
+        first = np.nonzero(np.diff(r, prepend=-1))[0]
+        g = np.add.reduceat(gradient.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+        at = r[first]
         power[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        weights[at] -= STEP * g / np.sqrt(power[at])[:, None]
+        g *= (STEP / np.sqrt(power[at]))[:, None]
+        weights[at] = weights.take(at, axis=0) - g
 
 
 def train(m: Model, codes: np.ndarray, marks: np.ndarray, begin: np.ndarray, used: np.ndarray) -> None:
@@ -305,9 +323,9 @@ def score(docs: DataFrame) -> DataFrame:
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((SURFACE, 2), np.int64)
         for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if w not in listed:
-                    sums[surface(w)] += (c, 1)
+            kind = np.fromiter((-1 if w in listed else surface(w) for w in b.column(0).to_pylist()), np.int64, len(b))
+            np.add.at(sums[:, 0], kind[kind >= 0], b.column(1).to_numpy()[kind >= 0])
+            sums[:, 1] += np.bincount(kind[kind >= 0], minlength=SURFACE)
         yield pa.RecordBatch.from_arrays([pa.array(range(SURFACE), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["kind", "tokens", "words"])
 
     rare = counts.select("word", "c").mapInArrow(rare_words, "kind int, tokens long, words long").groupBy("kind").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect()

@@ -1,5 +1,6 @@
 """Counts and base scores against plain counting; probabilities that sum to one; held-out gain; edge cases."""
 
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -133,3 +134,57 @@ def test_every_position_trains():
     begin = np.repeat(np.cumsum(lens) - lens, lens)
     used = sum(me.used_in(k, ids, lens, held, begin).astype(int) for k in range(me.ROUNDS))
     assert (used[~np.repeat(held, lens)] >= 1).all() and not used[np.repeat(held, lens)].any()
+
+
+def plain_descend(weights, power, rows, gradient):
+    for r in rows:
+        order = np.argsort(r, kind="stable")
+        first = np.nonzero(np.diff(r[order], prepend=-1))[0]
+        g = np.add.reduceat(gradient[order], first, axis=0)
+        at = r[order[first]]
+        power[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        weights[at] -= me.STEP * g / np.sqrt(power[at])[:, None]
+
+
+def mini_batch(hashed, width):
+    """Rows as training has them: skewed context codes and hashed n-grams."""
+    rng = np.random.default_rng(5)
+    codes = np.minimum(rng.pareto(0.6, (4, me.BATCH)) * 2, me.CONTEXT - 1).astype(np.int64) + np.arange(4)[:, None] * me.CONTEXT
+    ngrams = 4 * me.CONTEXT + rng.zipf(1.2, (1, me.BATCH)) * 40503 % hashed
+    rows = 4 * me.CONTEXT + hashed
+    return np.zeros((rows, width), np.float32), np.full(rows, 1e-2, np.float32), np.concatenate([codes, ngrams]), rng.normal(0, 0.2, (me.BATCH, width)).astype(np.float32)
+
+
+@pytest.mark.parametrize("hashed,width", [(1 << 14, me.CLASSES), (1 << 18, me.SLOTS)])
+def test_step_equals_the_plain_one(hashed, width):
+    """Also where row numbers take more than 16 bits."""
+    weights, power, rows, gradient = mini_batch(hashed, width)
+    want, want_power = weights.copy(), power.copy()
+    for _ in range(2):
+        me.descend(weights, power, rows, gradient)
+        plain_descend(want, want_power, rows, gradient)
+    assert np.allclose(weights, want, atol=1e-5) and np.allclose(power, want_power, rtol=1e-4)
+    assert np.count_nonzero(weights) == np.count_nonzero(want)
+
+
+def test_step_costs_less_than_the_plain_one():
+    """The query's CPU budget hangs on this step: at most 0.8 of the plain one's CPU time (least of some runs, taken in turn)."""
+    weights, power, rows, gradient = mini_batch(1 << 14, me.CLASSES)
+    least = {me.descend: 1e9, plain_descend: 1e9}
+    for _ in range(15):
+        for step in least:
+            start = time.thread_time()
+            step(weights, power, rows, gradient)
+            least[step] = min(least[step], time.thread_time() - start)
+    assert least[me.descend] < 0.8 * least[plain_descend]
+
+
+def test_softmax_of_any_width():
+    rng = np.random.default_rng(6)
+    for width in (1, 2, 3, 31, 32, 48):
+        x = rng.normal(0, 200, (50, width)).astype(np.float32)
+        x[:, 1:][rng.random((50, width - 1)) < 0.1] = -np.inf
+        assert (me.highest(x) == x.max(axis=1, keepdims=True)).all()
+        want = np.exp(x.astype(float) - x.max(axis=1, keepdims=True))
+        assert np.allclose(me.softmax(x.copy()), want / want.sum(axis=1, keepdims=True), atol=1e-6)
+    assert me.softmax(np.empty((0, me.SLOTS), np.float32)).shape == (0, me.SLOTS)
