@@ -150,7 +150,7 @@ def ngrams(codes: np.ndarray, marks: np.ndarray, begin: np.ndarray, at: np.ndarr
     the text's start."""
     first = begin[at]
     one = np.where(at - 1 >= first, marks[at - 1], np.uint64(0))
-    two = np.where(at - 2 >= first, marks[at - 2], np.uint64(0))
+    two = np.where(at - 2 >= first, marks[np.maximum(at - 2, 0)], np.uint64(0))
     alone = (at - 1 >= first) & (codes[at - 1] >= COMMON)
     return one * np.uint64(0x9E3779B97F4A7C15) + np.where(alone, np.uint64(1), two * np.uint64(0xC2B2AE3D27D4EB4F))
 

@@ -188,3 +188,10 @@ def test_softmax_of_any_width():
         want = np.exp(x.astype(float) - x.max(axis=1, keepdims=True))
         assert np.allclose(me.softmax(x.copy()), want / want.sum(axis=1, keepdims=True), atol=1e-6)
     assert me.softmax(np.empty((0, me.SLOTS), np.float32)).shape == (0, me.SLOTS)
+
+
+@pytest.mark.parametrize("held", [False, True])
+def test_one_empty_text(make, held):
+    """A piece of a single token."""
+    row = me.score(make([(1, None)]).withColumn("held", F.lit(held))).first()
+    assert (row.doc_id, row.n_tokens, row.n_known, row.train_tokens) == (1, 1, int(not held), int(not held)) and np.isfinite(row.score)
