@@ -14,7 +14,10 @@ be counted; the counts of a piece's words travel back to the piece. No task hold
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,12 +56,33 @@ def surface(word: bytes) -> int:
     return zlib.crc32(word[:2]) % SURFACE
 
 
+@functools.cache
+def head_surfaces() -> np.ndarray:
+    """Surface classes of all words of two bytes, then of one, then of none."""
+    heads = itertools.chain(itertools.product(range(256), repeat=2), itertools.product(range(256)), [()])
+    return np.fromiter((surface(bytes(h)) for h in heads), np.int64)
+
+
+def surfaces(words: list[bytes]) -> np.ndarray:
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    at, text = np.cumsum(lens) - lens, np.frombuffer(b"".join(words) + b"\0\0", np.uint8)
+    one, two = text[at].astype(np.int64), text[at + 1]
+    return head_surfaces()[np.where(lens > 1, one << 8 | two, np.where(lens == 1, one + (1 << 16), (1 << 16) + 256))]
+
+
+def empty_numbers() -> defaultdict[bytes, int]:
+    """Numbers words in the order in which they are asked for; END comes first."""
+    number = defaultdict(itertools.count().__next__)
+    number[END]
+    return number
+
+
 def tokenised(docs: DataFrame) -> DataFrame:
     """(doc_id, text, held) to pieces: documents' ids and lengths, tokens as numbers of the piece's words, and the words' training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, packed = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(3)
-        number, ids, lens, held, tokens, size = {END: 0}, [], [], [], [], 0
+        number, ids, lens, held, tokens, size = empty_numbers(), [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
             stream = np.concatenate(tokens)
@@ -71,7 +95,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
             for i, t, h in zip(b.column(0), b.column(1), b.column(2)):
                 words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 words.append(END)
-                tokens.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+                tokens.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 ids.append(NO_ID if i.as_py() is None else i.as_py())
                 lens.append(len(words))
                 held.append(h.as_py())
@@ -79,7 +103,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 if size >= PIECE:
                     yield out()
                     piece += 1
-                    number, ids, lens, held, tokens, size = {END: 0}, [], [], [], [], 0
+                    number, ids, lens, held, tokens, size = empty_numbers(), [], [], [], [], 0
         if ids:
             yield out()
 
@@ -129,10 +153,17 @@ class Model:
         rows = SKIPS * CONTEXT + hashed, CONTEXT * FREQUENT + hashed
         return cls({w: i for i, (w, _) in enumerate(common)}, tokens + kinds + 1, bias.astype(np.float32), slot_bias.astype(np.float32), np.zeros((rows[0], CLASSES), np.float32), np.zeros((rows[1], SLOTS), np.float32), np.full(rows[0], 1e-2, np.float32), np.full(rows[1], 1e-2, np.float32))
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """Each word's number as a context: its place among the common words, or COMMON + its surface class."""
-        place = self.place
-        return np.fromiter((place[w] if w in place else COMMON + surface(w) for w in words), np.int64, len(words))
+    def codes(self, words: list[bytes], marks: np.ndarray | None = None) -> np.ndarray:
+        """Each word's number as a context: its place among the common words, or COMMON + its surface class.
+
+        Only words whose marks (worked out unless given) end in the same 16 bits as a common word's are looked up.
+        """
+        marks = word_marks(words) if marks is None else marks
+        out, near = COMMON + surfaces(words), np.zeros(1 << 16, bool)
+        near[word_marks(list(self.place)).astype(np.uint16)] = True
+        for i in np.nonzero(near[marks.astype(np.uint16)])[0].tolist():
+            out[i] = self.place.get(words[i], out[i])
+        return out
 
 
 def contexts(codes: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -255,7 +286,8 @@ def unpacked(ids: bytes, lens: bytes, held: bytes, tokens: bytes) -> tuple[np.nd
 
 def used_in(number: int, ids: np.ndarray, lens: np.ndarray, held: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Which positions a round trains on: over all rounds, each one of a training text."""
-    return ~np.repeat(held, lens) & ((np.arange(len(begin)) - begin + np.repeat(ids, lens)) % THIN == number % THIN)
+    turn = np.where(held, -1, (np.cumsum(lens) - lens - ids % THIN + number) % THIN)
+    return np.tile(np.arange(THIN, dtype=np.int8), len(begin) // THIN + 1)[: len(begin)] == np.repeat(turn.astype(np.int8), lens)
 
 
 PARTS = ("of_class", "of_slot", "class_power", "slot_power")
@@ -277,7 +309,8 @@ def one_round(pieces: DataFrame, m: Model, number: int) -> Model:
                 begin = np.repeat(np.cumsum(lens) - lens, lens)
                 used = used_in(number, ids, lens, held, begin)
                 words = plain(row[4]).split(b"\n")
-                train(own, own.codes(words)[tokens], word_marks(words)[tokens], begin, used)
+                marks = word_marks(words)
+                train(own, own.codes(words, marks)[tokens], marks[tokens], begin, used)
                 any_used |= bool(used.any())
         if any_used:
             for name in PARTS:
@@ -341,12 +374,13 @@ def score(docs: DataFrame) -> DataFrame:
                 words = plain(values[4]).split(b"\n")
                 known = np.frombuffer(plain(values[5]), np.int64).copy()  # right for words of this piece alone
                 known[c.column("place").to_numpy()] = c.column("c").to_numpy()
-                codes = model.codes(words)
+                marks = word_marks(words)
+                codes = model.codes(words, marks)
                 rare_part = np.zeros(len(words))
                 few = codes >= COMMON
                 rare_part[few] = np.log((known[few] + 1) / model.rare_total[codes[few] - COMMON])
                 starts = np.cumsum(lens) - lens
-                lp = log_chances(model, codes[stream], word_marks(words)[stream], np.repeat(starts, lens), rare_part[stream])
+                lp = log_chances(model, codes[stream], marks[stream], np.repeat(starts, lens), rare_part[stream])
                 base = np.log10((known + 1) / (tokens + kinds + 1))[stream]
                 parts = [lens, np.add.reduceat((known > 0)[stream].astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(lp, starts) / np.log(10)]
                 out.append(pa.table({"doc_id": pa.array(ids, mask=ids == NO_ID), "held_out": pa.array(held), "n_tokens": pa.array(parts[0]), "n_known": pa.array(parts[1]), "train_tokens": pa.array(np.full(len(ids), tokens)), "base_score": pa.array(parts[2]), "score": pa.array(parts[3])}))
