@@ -5,13 +5,15 @@ Rasterising needs no Python: a face is exploded to the pixels of its own boundin
 
 from __future__ import annotations
 
-import heapq
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..ship import ship
+
 CORNERS = [(f"x{i}", f"y{i}", f"z{i}") for i in range(3)]
 COORDS = [c for p in CORNERS for c in p]
 
@@ -126,34 +128,99 @@ def pixels(faces: DataFrame, size: int, low: float = -1.0, high: float = 1.0) ->
     return p.where(inside).withColumn("z", z).drop(*drop)
 
 
-def refined(faces: DataFrame, wanted: int) -> DataFrame:
-    """Each mesh with at least `wanted` faces: the longest edge of all faces is halved again and again. A kernel by mesh, as each step depends on the last."""
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        tris = [np.array([[r[f"{a}{i}"] for a in "xyz"] for i in range(3)]) for r in pdf.sort_values("f").to_dict("records")]
-
-        def longest(t: np.ndarray) -> tuple[float, int]:
-            return max((float(np.sum((t[(i + 1) % 3] - t[i]) ** 2)), -i) for i in range(3))
-
-        heap = [(-longest(t)[0], k) for k, t in enumerate(tris)]
-        heapq.heapify(heap)
-        while heap and len(heap) < wanted and heap[0][0] < 0:
-            _, k = heapq.heappop(heap)
-            t = tris[k]
-            i = -longest(t)[1]
-            a, b, c = t[i], t[(i + 1) % 3], t[(i + 2) % 3]
-            m = (a + b) / 2
-            for new in (np.array([a, m, c]), np.array([m, b, c])):
-                heapq.heappush(heap, (-longest(new)[0], len(tris)))
-                tris.append(new)
-        live = [tris[k] for _, k in sorted(heap, key=lambda h: h[1])]
-        out = pd.DataFrame(np.array(live).reshape(-1, 9), columns=COORDS)
-        out.insert(0, "f", range(len(out)))
-        out.insert(0, "mesh", pdf["mesh"].iloc[0])
-        return out
+#: Faces that one step of refining holds at once, those that have been halved included.
+HELD_FACES = 1 << 16
+
+
+def _longest(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of triangles (..., corner, axis) the squared length of the longest edge and which it is, the first of equals. Without length if a corner is unknown."""
+    d = (t[..., [1, 2, 0], :] - t) ** 2
+    e = d[..., 0] + d[..., 1] + d[..., 2]
+    size = e.max(-1)
+    return np.where(np.isnan(size), 0.0, size), e.argmax(-1)
+
+
+def _halved(t: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Meshes of equally many faces (mesh, face, corner, axis), fewer than wanted, refined side by side: their faces in order of making, and which of them stand.
+    Every step halves each mesh's longest edge, of equal ones the oldest face's; a mesh whose edges have no length is done."""
+    n, total = t.shape[1], 2 * wanted - t.shape[1]
+    p = np.empty((len(t), total, 3, 3))
+    p[:, :n] = t
+    size, edge = np.full((len(t), total), -1.0), np.zeros((len(t), total), np.int8)
+    size[:, :n], edge[:, :n] = _longest(t)
+    for at in range(n, total, 2):
+        k = size.argmax(1)
+        on = np.flatnonzero(size[np.arange(len(t)), k] > 0)
+        if not len(on):
+            break
+        k = k[on]
+        one, i, r = p[on, k], edge[on, k].astype(int), np.arange(len(on))
+        a, b, c = one[r, i], one[r, (i + 1) % 3], one[r, (i + 2) % 3]
+        m = (a + b) / 2
+        new = np.stack([np.stack([a, m, c], 1), np.stack([m, b, c], 1)], 1)
+        p[on, at : at + 2] = new
+        size[on, k] = -1.0
+        size[on, at : at + 2], edge[on, at : at + 2] = _longest(new)
+    return p, size >= 0
+
+
+def _refine_batches(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.RecordBatch]:
+    """Faces in order of mesh and place. The last mesh of a batch is held back while it has fewer faces than wanted; larger ones go out as they come."""
+    nulls = lambda c: np.asarray(c.is_null())
+
+    def out(mesh, none, f, xyz, void):
+        columns = [pa.array(mesh, pa.int64(), mask=none), pa.array(f, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(xyz[:, i], pa.float64(), mask=void[:, i]) for i in range(9)], names=["mesh", "f", *COORDS])
+
+    def done(rows, at, before, whole):
+        mesh, none, xyz, void = rows
+        size = np.diff(at)
+        ready = np.repeat(whole, size)
+        if ready.any():
+            f = np.arange(len(ready)) - np.repeat(at[:-1] - before, size)
+            yield out(mesh[ready], none[ready], f[ready], xyz[ready], void[ready])
+        for n in np.unique(size[~whole]):
+            first = at[:-1][~whole & (size == n)]
+            step = max(1, HELD_FACES // (2 * wanted - n))
+            for some in (first[i : i + step] for i in range(0, len(first), step)):
+                each = some[:, None] + np.arange(n)
+                p, live = _halved(xyz[each].reshape(-1, n, 3, 3), wanted)
+                gaps = np.zeros((*live.shape, 9), bool)
+                gaps[:, :n] = void[each]
+                m = np.repeat(some, live.sum(1))
+                yield out(mesh[m], none[m], (live.cumsum(1) - 1)[live], p[live].reshape(-1, 9), gaps[live])
+
+    rows, last, seen = None, None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        coords = [b.column(c) for c in COORDS]
+        xyz = np.stack([np.asarray(c.fill_null(np.nan)) for c in coords], 1)
+        new = np.asarray(b.column("mesh").fill_null(0)), nulls(b.column("mesh")), xyz, np.stack([nulls(c) for c in coords], 1)
+        rows = new if rows is None else tuple(map(np.concatenate, zip(rows, new)))
+        mesh, none = rows[:2]
+        at = np.r_[0, np.flatnonzero((mesh[1:] != mesh[:-1]) | (none[1:] != none[:-1])) + 1, len(mesh)]
+        before = np.zeros(len(at) - 1, int)
+        before[0] = seen if last == (mesh[0], none[0]) else 0
+        whole = before + np.diff(at) >= wanted
+        last, seen = (mesh[-1], none[-1]), int(before[-1] + at[-1] - at[-2]) if whole[-1] else 0
+        k = len(at) if whole[-1] else len(at) - 1
+        if k > 1:
+            yield from done(tuple(v[: at[k - 1]] for v in rows), at[:k], before[: k - 1], whole[: k - 1])
+        rows = tuple(v[at[k - 1] :] for v in rows) if k < len(at) else None
+    if rows is not None:
+        n = len(rows[0])
+        yield from done(rows, np.array([0, n]), np.array([0]), np.array([False]))
 
+
+def refined(faces: DataFrame, wanted: int) -> DataFrame:
+    """Each mesh with at least `wanted` faces: the longest edge of all faces is halved again and again. Each step depends on the last, so a kernel
+    does them, for many meshes at once; meshes lie whole and in order in its partitions."""
+    ship(faces.sparkSession)
     schema = "mesh long, f int, " + ", ".join(f"{c} double" for c in COORDS)
-    return faces.select("mesh", "f", *COORDS).groupBy("mesh").applyInPandas(split, schema)
+    rows = faces.select(F.col("mesh").cast("long").alias("mesh"), "f", *(F.col(c).cast("double").alias(c) for c in COORDS))
+    rows = rows.repartition("mesh").sortWithinPartitions("mesh", F.asc_nulls_last("f"))
+    return rows.mapInArrow(partial(_refine_batches, wanted=wanted), schema)
 
 
 def grouped(submeshes: DataFrame, vertices: int, coordinates: int, faces: int) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operators with rules of their own against plain Python models."""
 
+import heapq
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
 from quadlark.operators import mesh as me, meta as mt, space as sp
@@ -81,3 +84,59 @@ def test_colours_that_outweigh_heights(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "zbuffer", "lineitem", rows, "l_partkey long, l_orderkey long, l_extendedprice double, l_suppkey long")
     assert got == want
     assert [r[3] for r in got] == [2007, 7, None, 4, None]
+
+
+def refined_one(faces, wanted):
+    """One mesh refined face by face: the longest edge, of equal ones the oldest face's, is halved."""
+    tris = [np.array(x).reshape(3, 3) for x in faces]
+    longest = lambda t: max((float(np.sum((t[(i + 1) % 3] - t[i]) ** 2)), -i) for i in range(3))
+    heap = [(-longest(t)[0], k) for k, t in enumerate(tris)]
+    heapq.heapify(heap)
+    while len(heap) < wanted and heap[0][0] < 0:
+        t = tris[heapq.heappop(heap)[1]]
+        i = -longest(t)[1]
+        a, b, c = t[i], t[(i + 1) % 3], t[(i + 2) % 3]
+        for new in ([a, (a + b) / 2, c], [(a + b) / 2, b, c]):
+            heapq.heappush(heap, (-longest(np.array(new))[0], len(tris)))
+            tris.append(np.array(new))
+    return [tuple(tris[k].ravel()) for k in sorted(k for _, k in heap)]
+
+
+def meshes(rng, count):
+    """Small and large ones, on coarse grids with equal and no edges too."""
+    out = {}
+    for m in range(count):
+        one = lambda: rng.choice([rng.random(), float(rng.randint(0, 2))]) if m % 2 else float(rng.randint(0, 1))
+        out[m] = [tuple(1.5 if m % 20 == 0 else one() for _ in range(9)) for _ in range(rng.randint(1, 30))]
+    return out
+
+
+def face_rows(of):
+    return [(m, f, *x) for m, faces in of.items() for f, x in enumerate(faces)]
+
+
+def test_refinement_of_many_meshes(spark):
+    """The same faces to the bit as face by face, however rows fall in batches; a kernel for many meshes, no call for each."""
+    of = meshes(random.Random(4), 120)
+    want = sorted(r for m, faces in of.items() for r in face_rows({m: refined_one(faces, 20)}))
+    schema = "mesh long, f int, " + ", ".join(f"{c} double" for c in me.COORDS)
+    rows = face_rows(of)
+    df = me.refined(spark.createDataFrame(random.Random(5).sample(rows, len(rows)), schema), 20)
+    assert sorted(map(tuple, df.collect())) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["mesh", "f", *me.COORDS])
+    for size in (1, 3, 50, len(rows)):
+        parts = (whole.slice(i, size) for i in range(0, len(rows), size))
+        assert sorted(tuple(r.values()) for b in me._refine_batches(parts, 20) for r in b.to_pylist()) == want
+
+
+def test_refinement_of_unknown_corners(spark):
+    """Faces with an unknown corner stay as they are, the rest of their mesh is halved; a mesh without a key is one mesh."""
+    fine, gap = (0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 3.0, 0.0), (None, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 3.0, float("nan"))
+    rows = [(1, 0, *gap), (1, 1, *fine), (None, 0, *fine), (None, 1, *fine), (2, 0, *gap)]
+    schema = "mesh long, f int, " + ", ".join(f"{c} double" for c in me.COORDS)
+    got = me.refined(spark.createDataFrame(rows, schema), 5).collect()
+    assert sorted((r.mesh or 0, r.f) for r in got) == [(0, f) for f in range(5)] + [(1, f) for f in range(5)] + [(2, 0)]
+    assert [(r.f, r.x0 is None, str(r.z2)) for r in got if None in r[2:]] == [(0, True, "nan")] * 2
+    assert abs(sum(abs(r.x1 * r.y2 - r.x2 * r.y1 + r.x0 * (r.y1 - r.y2) + r.y0 * (r.x2 - r.x1)) / 2 for r in got if r.mesh == 1 and r.f) - 6) < 1e-12
